@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,3 +102,9 @@ def range_of(key: Column, cuts: list) -> Column:
 def range_of_value(value, cuts: list) -> int:
     """The same for one value, in Python."""
     return len(cuts) - 1 if value is None else max(0, bisect.bisect_right(cuts, value) - 1)
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """df's schema and more fields, nullable."""
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items()]
+    return T.StructType([*df.schema.fields, *more])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import fingerprints, mixing, urls
-from quillsieve.llm.common import table
+from quillsieve.llm import fingerprints, langid, mixing, quality, rules, simhash, urls
+from quillsieve.llm.common import in_held_out, table
 
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
@@ -40,10 +40,36 @@ def op3_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
+def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.classify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= quality.KEEP_AT).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("failed")
+
+
+def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_lang_ambiguous").alias("ambiguous"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_bottom_k": op2_bottom_k,
     "op3_url_models": op3_url_models,
+    "op4_simhash_anchors": op4_simhash_anchors,
+    "op5_line_crf": op5_line_crf,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_language_codes": op9_language_codes,
 }
 
-ORACLES = {"op1_pareto_mix": mixing.ORACLE_SQL}
+ORACLES = {"op1_pareto_mix": mixing.ORACLE_SQL, "op7_quality_rules": rules.ORACLE_SQL}
