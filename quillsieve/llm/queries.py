@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import fingerprints, langid, mixing, quality, rules, simhash, urls
+from quillsieve.llm import fingerprints, langid, mixing, packing, quality, rules, simhash, token_files, urls
 from quillsieve.llm.common import in_held_out, table
 
+
+def public(name: str) -> str:
+    """The place of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
@@ -52,10 +60,19 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= quality.KEEP_AT).cast("int").alias("predicted"))
 
 
+def op6_grouping_ga(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary or public("word_bpe_49k.json"), "dropped", 1)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).drop("failed")
 
 
+def op8_elias_fano(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.encode_and_read_back(docs, vocabulary or public("byte_bpe_50k.json"), "kept", 0, width=2)
+
+
 def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -68,7 +85,9 @@ QUERIES = {
     "op3_url_models": op3_url_models,
     "op4_simhash_anchors": op4_simhash_anchors,
     "op5_line_crf": op5_line_crf,
+    "op6_grouping_ga": op6_grouping_ga,
     "op7_quality_rules": op7_quality_rules,
+    "op8_elias_fano": op8_elias_fano,
     "op9_language_codes": op9_language_codes,
 }
 
