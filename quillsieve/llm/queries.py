@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import fingerprints, langid, mixing, packing, quality, rules, simhash, token_files, urls
+from quillsieve.llm import fingerprints, html, langid, mixing, packing, quality, rules, simhash, token_files, urls
 from quillsieve.llm.common import in_held_out, table
 
 
@@ -79,6 +79,10 @@ def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_lang_ambiguous").alias("ambiguous"))
 
 
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_bottom_k": op2_bottom_k,
@@ -89,6 +93,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_elias_fano": op8_elias_fano,
     "op9_language_codes": op9_language_codes,
+    "op10_html_wrappers": op10_html_wrappers,
 }
 
 ORACLES = {"op1_pareto_mix": mixing.ORACLE_SQL, "op7_quality_rules": rules.ORACLE_SQL}
