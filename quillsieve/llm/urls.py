@@ -8,9 +8,10 @@ log-likelihoods divided by its length, and allowed at or above a threshold
 calibrated on a quarter of the labelled URLs that the models do not learn from.
 Counting covers every labelled URL; all of it is built-in column arithmetic.
 
-The model travels in the plan as two arrays of `slots` numbers, indexed by the
-hash of a gram; of grams that share a slot the most frequent stays. That bound
-is a parameter and does not depend on the input.
+The model travels in the plan as two arrays of four numbers a gram that was
+seen, but at most `slots`, indexed by the hash of a gram; of grams that share a
+slot the most frequent stays. That bound is a parameter and does not depend on
+the input.
 
 Edge cases: null URLs and those without :// have an empty host and path and no
 rule; the empty URL has score 0; without labelled URLs of both kinds every
@@ -111,7 +112,7 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _slots(values: DataFrame, key: str, slots: int) -> str:
     """The values as one JSON array by hash slot; null where no key falls."""
-    kept = values.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).agg(F.max(F.struct("n", key, F.round("v", 4).alias("v"))).alias("x"))
+    kept = values.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).agg(F.max(F.struct("n", key, F.round("v", 3).alias("v"))).alias("x"))
     dense = values.sparkSession.range(slots).join(kept.select(F.col("slot").alias("id"), F.col("x.v").alias("v")), "id", "left")
     one = dense.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("a"))
     return one.select(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: F.coalesce(x["v"].cast("string"), F.lit("null"))), ","), F.lit("]"))).first()[0]
@@ -119,21 +120,23 @@ def _slots(values: DataFrame, key: str, slots: int) -> str:
 
 def score(url: Column, grams: str, backoff: str, slots: int) -> Column:
     """Length-normalised log-likelihood difference: above 0 if the accepted model fits better."""
-    kind = "array<double>"
-    value, weight = F.from_json(F.lit(grams), kind), F.from_json(F.lit(backoff), kind)
     slot = lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")
+    # bound once, so that the plan holds each array once
+    model = F.struct(F.from_json(F.lit(grams), "array<double>").alias("value"), F.from_json(F.lit(backoff), "array<double>").alias("weight"))
 
-    def at(chars: Column, i: Column) -> Column:
+    def at(m: Column, chars: Column, i: Column) -> Column:
         found = F.lit(0.0)
         for n in range(1, ORDER + 1):
             if n > 1:
                 context = F.concat(*[F.get(chars, i + (ORDER - n + k)) for k in range(n - 1)])
-                found = F.coalesce(F.get(weight, slot(context)), F.lit(0.0)) + found
-            found = F.coalesce(F.get(value, slot(_gram(chars, i, n))), found)
+                found = F.coalesce(F.get(m["weight"], slot(context)), F.lit(0.0)) + found
+            found = F.coalesce(F.get(m["value"], slot(_gram(chars, i, n))), found)
         return found
 
-    total = lambda c: F.aggregate(_ends(c), F.lit(0.0), lambda acc, i: acc + at(c, i)) / F.greatest(F.size(c) - (ORDER - 1), F.lit(1))
-    return F.when(F.coalesce(url, F.lit("")) == "", 0.0).otherwise(let(_chars(url), total))
+    def total(m: Column, c: Column) -> Column:
+        return F.aggregate(_ends(c), F.lit(0.0), lambda acc, i: acc + at(m, c, i)) / F.greatest(F.size(c) - (ORDER - 1), F.lit(1))
+
+    return F.when(F.coalesce(url, F.lit("")) == "", 0.0).otherwise(let(model, lambda m: let(_chars(url), lambda c: total(m, c))))
 
 
 def threshold(scored: DataFrame) -> float | None:
@@ -157,6 +160,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], slots: int = SLOTS) -> Data
     grams, backoff = log_ratios(counts)
     kinds = counts.where("length(gram) = 1").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
     found, limit = F.lit(0.0), None
+    slots = min(slots, 1 << (4 * counts.count()).bit_length())
     if kinds["a"] and kinds["r"]:
         found = score(F.col("url"), _slots(grams, "gram", slots), _slots(backoff, "context", slots), slots)
         limit = threshold(labelled.where(calibrating).withColumn("score", found))
