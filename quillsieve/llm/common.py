@@ -106,5 +106,5 @@ def range_of_value(value, cuts: list) -> int:
 
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema and more fields, nullable."""
-    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in kinds.items()]
-    return T.StructType([*df.schema.fields, *more])
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
