@@ -107,7 +107,7 @@ def parse(page: str) -> Node:
                     break
         elif m["tag"]:
             tag, rest = m["tag"].lower(), m["rest"]
-            names = [next(x for x in (a, b, c, d) if x or x == "") if not d else d for _, a, b, c, d in _NAME.findall(rest)] if "=" in rest or "hidden" in rest else []
+            names = [a or b or c or d for _, a, b, c, d in _NAME.findall(rest)] if "=" in rest or "hidden" in rest else []
             words = frozenset(_WORD.findall(" ".join(names).lower())) if names else frozenset()
             if tag not in INLINE and tag != "br":  # a block ends a paragraph
                 for k in range(len(stack) - 1, 0, -1):

@@ -51,8 +51,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     """A code for n languages: all splits of the languages in two up to 6 of them, else random splits in which no two languages are close."""
     if n <= 6:
         bits = max(1, 2 ** (n - 1) - 1)
-        columns = [[1 if (k + 1) >> (n - 2 - j) & 1 else -1 for j in range(n - 1)] for k in range(bits)] if n > 1 else [[]]
-        return np.array([[1] * bits, *np.array(columns).T.reshape(n - 1, bits)]) * -1
+        splits = np.arange(1, bits + 1)
+        return np.array([1 - 2 * (splits >> (i - 1) & 1) if i else np.ones(bits, int) for i in range(n)])
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(n)))
     tries = (rng.choice([-1, 1], (n, bits)) for _ in range(50))

@@ -5,7 +5,8 @@ cut), and pieces are packed whole. The pieces are dealt by hash into blocks of
 bounded size; for each block several islands, rows of their own, evolve
 packings: a crossover injects whole well-filled bins of one parent into the
 other, bins that hold the same pieces are dissolved, and what that displaces is
-placed again by best fit, longest first. Between epochs each island's elite
+exchanged for smaller pieces where it fills a bin better, and else placed again
+by best fit, longest first. Between epochs each island's elite
 migrates to the next island; last the best island's packing of each block is
 taken. The pieces of bins that are not well filled then meet those of other
 blocks in further rounds, which pack them in the same way.
@@ -18,6 +19,7 @@ repeat a document are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 from collections.abc import Iterator
@@ -110,6 +112,27 @@ def _fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[in
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def dominate(kept: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Kept bins with one or two of their pieces exchanged for a loose one that fills the bin better: the loose pieces become smaller, and easier to place."""
+    spare = sorted((sizes[i], i) for i in loose)
+    out = []
+    for b in kept:
+        b = list(b)
+        room = capacity - sum(sizes[i] for i in b)
+        for gone in [(i,) for i in b] + [(i, j) for k, i in enumerate(b[:8]) for j in b[k + 1 : 8]] if room and spare else ():
+            least = sum(sizes[i] for i in gone)
+            at = bisect.bisect_right(spare, (least + room, len(sizes))) - 1
+            if at >= 0 and spare[at][0] > least:
+                size, item = spare.pop(at)
+                b = [i for i in b if i not in gone] + [item]
+                for i in gone:
+                    bisect.insort(spare, (sizes[i], i))
+                room -= size - least
+                break
+        out.append(b)
+    return out, [i for _, i in spare]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Whole well-filled bins of b are injected into a; a's bins with the same items are dissolved, and what that displaces is placed by best fit."""
     filled = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
@@ -122,6 +145,7 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
             kept.append(x)
         else:
             loose += [i for i in x if i not in inside]
+    kept, loose = dominate(kept, loose, sizes, capacity)
     return best_fit(injected + kept, loose, sizes, capacity)
 
 
@@ -130,8 +154,8 @@ def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: random.Rand
     order = sorted(range(len(a)), key=lambda k: sum(sizes[i] for i in a[k]))
     gone = set(order[: max(1, len(a) // 50)]) | set(rng.sample(range(len(a)), max(1, len(a) // 20)))
     loose = [i for k in gone for i in a[k]]
-    rng.shuffle(loose)
-    return best_fit([x for k, x in enumerate(a) if k not in gone], loose, sizes, capacity)
+    kept, loose = dominate([x for k, x in enumerate(a) if k not in gone], loose, sizes, capacity)
+    return best_fit(kept, loose, sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
