@@ -131,7 +131,7 @@ def parse(page: str) -> Node:
                 at = end.start() if end else len(page)
                 closing = _TOKEN.match(page, at) if end else None
                 at = closing.end() if closing else at
-            elif tag not in VOID and not rest.endswith("/>"):
+            elif tag not in VOID:
                 if len(stack) < MAX_DEPTH:
                     stack.append(node)
                 else:  # deeper elements lie side by side

@@ -8,14 +8,14 @@ log-likelihoods divided by its length, and allowed at or above a threshold
 calibrated on a quarter of the labelled URLs that the models do not learn from.
 Counting covers every labelled URL; all of it is built-in column arithmetic.
 
-The model travels in the plan as two arrays of four numbers a gram that was
-seen, but at most `slots`, indexed by the hash of a gram; of grams that share a
-slot the most frequent stays. That bound is a parameter and does not depend on
-the input.
+The model travels in the plan as two arrays of numbers, in buckets by the hash of
+a gram or context: one number each, of at most the `most` most frequent. That
+bound is a parameter and does not depend on the input.
 
 Edge cases: null URLs and those without :// have an empty host and path and no
 rule; the empty URL has score 0; without labelled URLs of both kinds every
-verdict of the method is allow; of rules equally long block wins; an empty table
+verdict of the method is allow, and without such to calibrate with the threshold
+is 0; of rules equally long block wins; an empty table
 gives an empty result.
 """
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from quillsieve.llm.common import cut_lineage, let
 
 ORDER = 4
-SLOTS = 1 << 16
+MOST = 1 << 16  # grams, and contexts, that the model keeps
+BITS, HALF = 24, 1 << 23
 ALPHABET = 256
 PAD = "^" * (ORDER - 1)
 STEP = 0.01  # of the calibrating histogram, which spans -10 to 10
@@ -106,31 +107,48 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = levels[0]
     for x in levels[1:]:
         grams = grams.unionByName(x)
-    backoff = stats.where("context <> ''").select("context", (F.col("n_accepted") + F.col("n_rejected")).alias("n"), F.log(F.col("w_accepted") / F.col("w_rejected")).alias("v"))
+    backoff = stats.select("context", (F.col("n_accepted") + F.col("n_rejected")).alias("n"), F.log(F.col("w_accepted") / F.col("w_rejected")).alias("v"))
     return grams, backoff
 
 
-def _slots(values: DataFrame, key: str, slots: int) -> str:
-    """The values as one JSON array by hash slot; null where no key falls."""
-    kept = values.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).agg(F.max(F.struct("n", key, F.round("v", 3).alias("v"))).alias("x"))
-    dense = values.sparkSession.range(slots).join(kept.select(F.col("slot").alias("id"), F.col("x.v").alias("v")), "id", "left")
-    one = dense.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("a"))
-    return one.select(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: F.coalesce(x["v"].cast("string"), F.lit("null"))), ","), F.lit("]"))).first()[0]
+def _entry(gram: Column, value: Column) -> Column:
+    """A gram's check bits (40 of its hash) and its value in thousandths (24), in one long."""
+    thousandths = F.greatest(F.least(F.round(value * 1000), F.lit(HALF - 1)), F.lit(1 - HALF)).cast("long") + HALF
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), BITS), BITS).bitwiseOR(thousandths)
 
 
-def score(url: Column, grams: str, backoff: str, slots: int) -> Column:
+def _packed(values: DataFrame, key: str, most: int) -> tuple[str, int]:
+    """(JSON of an array of buckets of entries, number of buckets) of the most frequent values."""
+    n = values.count()
+    if n > most:
+        values, n = values.orderBy(F.desc("n"), key).limit(most), most
+    buckets = 1 << max(0, n - 1).bit_length()
+    slot = F.pmod(F.xxhash64(key), F.lit(buckets))
+    full = values.groupBy(slot.alias("id")).agg(F.sort_array(F.collect_list(_entry(F.col(key), F.col("v")))).alias("b"))
+    dense = values.sparkSession.range(buckets).join(full, "id", "left").select("id", F.coalesce("b", F.array().cast("array<bigint>")).alias("b"))
+    one = dense.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("a"))  # at most as many entries as grams are kept
+    return one.select(F.to_json(F.transform("a", lambda x: x["b"]))).first()[0], buckets
+
+
+def _found(model: Column, gram: Column, buckets: int) -> Column:
+    """The gram's value in a packed model, or null."""
+    h = F.xxhash64(gram)
+    own = F.filter(F.get(model, F.pmod(h, F.lit(buckets)).cast("int")), lambda e: F.shiftrightunsigned(e, BITS) == F.shiftrightunsigned(h, BITS))
+    return (F.get(own, F.lit(0)).bitwiseAND((1 << BITS) - 1) - HALF) / 1000.0
+
+
+def score(url: Column, grams: tuple[str, int], backoff: tuple[str, int]) -> Column:
     """Length-normalised log-likelihood difference: above 0 if the accepted model fits better."""
-    slot = lambda g: F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")
     # bound once, so that the plan holds each array once
-    model = F.struct(F.from_json(F.lit(grams), "array<double>").alias("value"), F.from_json(F.lit(backoff), "array<double>").alias("weight"))
+    kind = "array<array<bigint>>"
+    model = F.struct(F.from_json(F.lit(grams[0]), kind).alias("value"), F.from_json(F.lit(backoff[0]), kind).alias("weight"))
 
     def at(m: Column, chars: Column, i: Column) -> Column:
         found = F.lit(0.0)
         for n in range(1, ORDER + 1):
-            if n > 1:
-                context = F.concat(*[F.get(chars, i + (ORDER - n + k)) for k in range(n - 1)])
-                found = F.coalesce(F.get(m["weight"], slot(context)), F.lit(0.0)) + found
-            found = F.coalesce(F.get(m["value"], slot(_gram(chars, i, n))), found)
+            context = F.concat(*[F.get(chars, i + (ORDER - n + k)) for k in range(n - 1)]) if n > 1 else F.lit("")
+            found = F.coalesce(_found(m["weight"], context, backoff[1]), F.lit(0.0)) + found
+            found = F.coalesce(_found(m["value"], _gram(chars, i, n), grams[1]), found)
         return found
 
     def total(m: Column, c: Column) -> Column:
@@ -139,19 +157,18 @@ def score(url: Column, grams: str, backoff: str, slots: int) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", 0.0).otherwise(let(model, lambda m: let(_chars(url), lambda c: total(m, c))))
 
 
-def threshold(scored: DataFrame) -> float | None:
-    """The score at which accepted(boolean) of scored(score, accepted) parts best: least mean of both error rates."""
+def threshold(scored: DataFrame) -> float:
+    """The score at which accepted(boolean) of scored(score, accepted) parts best: least mean of both error rates. 0 unless there are rows of both kinds."""
     step = F.least(F.greatest(F.floor(F.col("score") / STEP), F.lit(-1000)), F.lit(1000))
     bins = scored.groupBy(step.alias("bin")).agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
     below = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # 2001 bins at most
     everything = W.partitionBy()
-    lost = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(everything)
-    passed = 1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(everything)
-    best = bins.select((F.col("bin") * STEP).alias("t"), F.try_add(lost, passed).alias("loss")).where("loss is not null").orderBy("loss", F.abs("t"), "t").first()
-    return None if best is None else best["t"]
+    share = lambda k: F.try_divide(F.coalesce(F.sum(k).over(below), F.lit(0)), F.sum(k).over(everything))
+    best = bins.select((F.col("bin") * STEP).alias("t"), (share("a") + 1 - share("r")).alias("loss")).where("loss is not null").orderBy("loss", F.abs("t"), "t").first()
+    return 0.0 if best is None else best["t"]
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], slots: int = SLOTS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], most: int = MOST) -> DataFrame:
     """pages(page_id, url) with host, path, rule, score (null where a rule decides) and verdict."""
     parsed = with_host_and_path(pages.select("page_id", "url")).withColumn("_rule", rule_of(rules))
     labelled = parsed.where("_rule is not null").select("url", (F.col("_rule.verdict") == "allow").alias("accepted"))
@@ -159,11 +176,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], slots: int = SLOTS) -> Data
     counts = cut_lineage(gram_counts(labelled.where(~calibrating)))
     grams, backoff = log_ratios(counts)
     kinds = counts.where("length(gram) = 1").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
-    found, limit = F.lit(0.0), None
-    slots = min(slots, 1 << (4 * counts.count()).bit_length())
+    found, limit = F.lit(0.0), 0.0
     if kinds["a"] and kinds["r"]:
-        found = score(F.col("url"), _slots(grams, "gram", slots), _slots(backoff, "context", slots), slots)
+        found = score(F.col("url"), _packed(grams, "gram", most), _packed(backoff, "context", most))
         limit = threshold(labelled.where(calibrating).withColumn("score", found))
     open_rows = parsed.withColumn("score", F.when(F.col("_rule").isNull(), found))
-    verdict = F.coalesce("_rule.verdict", F.when(F.col("score") >= (-1e9 if limit is None else limit), "allow").otherwise("block"))
+    verdict = F.coalesce("_rule.verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return open_rows.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))

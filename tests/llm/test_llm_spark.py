@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -95,7 +96,7 @@ def test_mix_of_odd_rows(docs, empty):
 def test_mix_comes_near_its_targets(spark):
     got = mixing.pareto_mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"))
-    assert (abs(by.taken - by.target) <= 0.01 * by.target + 5).all()
+    assert (abs(by.taken - by.target) <= 0.02 * by.target).all()
     assert by.target.sum() == pytest.approx(by["size"].sum())
 
 
@@ -236,9 +237,9 @@ def test_url_scores_equal_brute_force(spark):
     labelled = [(u, brute_rule(u)[3] == "allow") for u in given if brute_rule(u)[2] and zlib.crc32(u.encode()) % 4 != 2]
     score = brute_model(labelled)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    for r in urls.filter_urls(pages, queries.URL_RULES, slots=1 << 18).collect():
+    for r in urls.filter_urls(pages, queries.URL_RULES).collect():
         if r["rule"] is None:
-            assert r["score"] == pytest.approx(score(r["url"]), abs=0.05)
+            assert r["score"] == pytest.approx(score(r["url"]), abs=0.002)
 
 
 def brute_components(fps: dict) -> dict:
@@ -275,7 +276,7 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, block):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] or 0 for r in kept.select("doc_id").collect())
-    assert ids == sorted({d for (d, k), c in want.items() if d == c and d < 100} | {0})
+    assert ids == sorted({d for (d, k), c in want.items() if d is not None and d == c and d < 100} | {0})
 
 
 def test_components_equal_union_find(spark):
@@ -339,7 +340,8 @@ def brute_rules(text):
     text = text or ""
     w = WORD.findall(text)
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    covered = {i + k for i, x in enumerate(wins) if wins.count(x) > 1 for k in range(5)} if len(wins) < 2000 else set()
+    often = Counter(wins)
+    covered = {i + k for i, x in enumerate(wins) if often[x] > 1 for k in range(5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
@@ -350,7 +352,7 @@ def test_rules(docs, empty):
         r = got[i]
         assert tuple(r[1:6]) == brute_rules(text) and r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
         assert not (r["base_failed"] and r["kept"])
-    assert got[5]["kept"] and not got[11]["kept"] and rules.judge(empty).count() == 0
+    assert got[1]["kept"] and not got[5]["kept"] and not got[11]["kept"] and rules.judge(empty).count() == 0
 
 
 def test_rules_keep_what_is_labelled_good(spark):
