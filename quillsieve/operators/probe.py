@@ -26,8 +26,12 @@ def _value(shared) -> Filter:
     return _opened[shared.value]
 
 
-def might_contain(spark: SparkSession, held: Filter, key: Column) -> Column:
-    """Whether a filter may hold a text or binary column's key; false is certain. Null for null."""
+def might_contain(spark: SparkSession, held: Filter, key: Column, here: bool = False) -> Column:
+    """Whether a filter may hold a text or binary column's key; false is certain. Null for null.
+
+    here: keep the optimizer from repeating the probe elsewhere, as on the other
+    side of a join, whose keys all pass.
+    """
     frame = held.to_bytes()
     if len(frame) > build.DENSE_BYTES + 64:
         raise ParamError(f"a filter of {len(frame)} bytes is probed by probe_words, not broadcast")
@@ -37,7 +41,7 @@ def might_contain(spark: SparkSession, held: Filter, key: Column) -> Column:
     def run(keys: pa.Array) -> pa.Array:
         return pa.array(_value(shared).has_all(keys), mask=np.array(keys.is_null()))
 
-    return run(key)
+    return (run.asNondeterministic() if here else run)(key)
 
 
 def probe_words(keys: DataFrame, words: DataFrame, like: _Mutable) -> DataFrame:
@@ -75,7 +79,7 @@ def probe_shards(keys: DataFrame, frames: DataFrame, shards: int) -> DataFrame:
 
 def _marked(left: DataFrame, right: DataFrame, on: str, kind: str, epsilon: float) -> DataFrame:
     held = build.build(right, on, kind, epsilon)
-    return left.withColumn("_maybe", might_contain(left.sparkSession, held, F.col(on).cast("string")))
+    return left.withColumn("_maybe", might_contain(left.sparkSession, held, F.col(on).cast("string"), here=True))
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: str, kind: str = "bloom", epsilon: float = 0.01) -> DataFrame:
