@@ -47,14 +47,17 @@ def key_bytes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, at[:-1], np.diff(at)
 
 
-def murmur128(keys: pa.Array, seed: int = 0) -> np.ndarray:
+def murmur128(keys: pa.Array, seed: int = 0, upto: int | None = None) -> np.ndarray:
     """MurmurHash3_x86_128 of every key of a string or binary array: uint32, one row a key, four words.
 
+    upto: hash only so many first bytes of each key.
+
     All keys advance together by blocks of 16 bytes; those that have none left
     drop out. The rest of a key is its last block with zeros behind, which the
     hash mixes without the block rotations.
     """
     raw, first, length = key_bytes(keys)
+    length = length if upto is None else np.minimum(length, upto)
     raw = np.concatenate([raw, np.zeros(16, np.uint8)])
     h = [np.full(len(first), seed, U32) for _ in range(4)]
     block, lane = 0, np.arange(16)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillsieve.functions import codec, columns, sizing
 from quillsieve.operators import build, probe
 from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloomFilter, BloomFilter
+from quillsieve.operators.sql import register
 from quillsieve.plans import reports, saturation, sqltext
 from quillsieve.sources import frames, keys
 from quillsieve.streaming import live
@@ -359,7 +360,16 @@ def lookup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.accuracy_report(spark, 100_000, EPSILON, 1_000_000)
+    return reports.accuracy_report(spark, (100_000, 1_000_000), EPSILON, 1_000_000)
+
+
+@query("SELECT sum(w0::BIGINT)::BIGINT AS w0, count(*) FILTER (hit) AS found FROM (" + sqltext.hashed(CUSTOMER).select("SELECT w0, true AS hit FROM {s}") + ")")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered SQL functions, on a frame that is a column."""
+    register(spark)
+    rows = _keys(spark, sf_dir, "customer", "c_custkey")
+    frame = F.lit(build.blocked(rows, "key", EPSILON).to_bytes())
+    return rows.select("key", frame.alias("frame")).selectExpr("amq_hash128(key).w0 AS w0", "amq_might_contain(frame, key) AS hit").agg(F.sum("w0").alias("w0"), F.count_if("hit").alias("found"))
 
 
 # Frames and envelopes. Frames of ten names, to which all builds must agree.

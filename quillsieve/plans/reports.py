@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,15 +90,26 @@ def _filters(df: DataFrame, epsilon: float, kinds: tuple[str, ...] = KINDS) -> d
     return {kind: build.build(df, "key", kind, epsilon) for kind in kinds}
 
 
-def accuracy_report(spark: SparkSession, n: int, epsilon: float = 0.01, probes: int = 1_000_000) -> DataFrame:
-    """structure, n, target, measured rate over keys that are not held, and bits a key."""
-    held = _filters(keys.numbered(spark, n, "0:"), epsilon)
+def accuracy_report(spark: SparkSession, sizes: tuple[int, ...], epsilon: float = 0.01, probes: int = 1_000_000) -> DataFrame:
+    """For each size and structure: target, measured rate over keys that are not held, and bits a key."""
     targets = {"bloom": epsilon, "blocked": epsilon, "fuse8": 2.0**-8, "fuse16": 2.0**-16}
-    asked = keys.numbered(spark, probes, "1:")
-    hits = asked.select(*[probe.might_contain(spark, f, F.col("key")).alias(kind) for kind, f in held.items()])
-    rates = hits.agg(*[F.avg(F.col(kind).cast("double")).alias(kind) for kind in held])
-    rows = F.array(*[F.struct(F.lit(kind).alias("structure"), F.lit(n).cast("long").alias("n"), F.lit(targets[kind]).alias("target_rate"), F.col(kind).alias("measured_rate"), F.lit(float(f.bits_per_key)).alias("bits_per_key")) for kind, f in held.items()])
-    return rates.select(F.inline(rows))
+    parts = []
+    for n in sizes:
+        held = _filters(keys.numbered(spark, n, "0:"), epsilon)
+        hits = keys.numbered(spark, probes, "1:").select(*[probe.might_contain(spark, f, F.col("key")).alias(kind) for kind, f in held.items()])
+        rates = hits.agg(*[F.avg(F.col(kind).cast("double")).alias(kind) for kind in held])
+        row = lambda kind, f, n=n: F.struct(F.lit(kind).alias("structure"), F.lit(n).cast("long").alias("n"), F.lit(targets[kind]).alias("target_rate"), F.col(kind).alias("measured_rate"), F.lit(float(f.bits_per_key)).alias("bits_per_key"))
+        parts.append(rates.select(F.inline(F.array(*[row(kind, f) for kind, f in held.items()]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def comparison_report(spark: SparkSession, n: int, epsilon: float = 0.01, probes: int = 100_000) -> DataFrame:
+    """The classic filter beside the one that Spark's own aggregation builds (murmur3 of longs), at the same size and rate."""
+    own = accuracy_report(spark, (n,), epsilon, probes).where("structure = 'bloom'").select("structure", "n", "measured_rate", "bits_per_key")
+    built = spark.range(n)._jdf.stat().bloomFilter("id", n, epsilon)
+    wrong = sum(built.mightContainLong(n + i) for i in range(min(probes, 20_000)))
+    other = spark.createDataFrame([("spark", n, wrong / min(probes, 20_000), built.bitSize() / n)], "structure string, n long, measured_rate double, bits_per_key double")
+    return own.unionByName(other)
 
 
 class Playground:

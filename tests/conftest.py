@@ -1,8 +1,16 @@
 from __future__ import annotations
 
+import os
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))  # for Python workers
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

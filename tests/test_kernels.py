@@ -125,3 +125,20 @@ def test_crc_of_frames():
 def test_bloom_columns_agree_with_python(n, eps):
     m, k = sizing.bloom_size(n, eps)
     assert m > 0 and k >= 1
+
+
+def test_hash_of_prefixes():
+    keys = pa.array([b"abcdefghijklmnopqrstuvwxyz", b"ab", b""])
+    assert (kernels.murmur128(keys, 5, upto=17) == kernels.murmur128(pa.array([b"abcdefghijklmnopq", b"ab", b""]), 5)).all()
+
+
+def test_bit_set():
+    from quillsieve.errors import BitSetRangeError
+    from quillsieve.functions.bits import BitSet
+
+    bits = BitSet(16)
+    bits.set(0)
+    bits.set(9)
+    assert bits.to_bytes() == b"\x01\x02" and bits.count() == 2 and bits.get(9) and not bits.get(1)
+    with pytest.raises(BitSetRangeError):
+        BitSet(2**32 + 1)

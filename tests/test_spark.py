@@ -197,3 +197,24 @@ def test_helpers():
     assert "another number" in reports.explain_error(errors.BinaryFuseBuildError("x"))
     with pytest.raises(KeyError):
         reports.explain_error(KeyError("x"))
+
+
+def test_sql_names(spark):
+    from quillsieve.operators.sql import register
+
+    register(spark)
+    a, b = BloomFilter.from_keys(["x"], 0.001), BinaryFuse16.from_keys(["y", "z"])
+    df = spark.createDataFrame([(bytearray(a.to_bytes()), "x"), (bytearray(b.to_bytes()), "y"), (bytearray(b.to_bytes()), "q"), (None, "x"), (bytearray(a.to_bytes()), None), (bytearray(b"AMQF"), "x")], "frame binary, key string").coalesce(1)
+    df.createOrReplaceTempView("held")
+    good = spark.sql("SELECT amq_might_contain(frame, key) AS hit, amq_parse(frame).kind AS kind FROM held WHERE frame IS NULL OR octet_length(frame) > 4").collect()
+    assert [r["hit"] for r in good] == [True, True, False, None, None] and [r["kind"] for r in good] == [1, 4, 4, None, 1]
+    assert [r[0] for r in spark.sql("SELECT amq_parse(frame).error FROM held WHERE octet_length(frame) = 4").collect()] == ["TruncatedError"]
+    assert spark.sql("SELECT amq_hash128('abc').w0").first()[0] == 0x75CDC6D1
+
+
+def test_accuracy(spark):
+    got = {(r["structure"], r["n"]): r for r in reports.accuracy_report(spark, (2000, 5000), 0.01, 50_000).collect()}
+    assert len(got) == 8 and all(0.004 < got[k, n]["measured_rate"] < 0.013 for k in ("bloom", "blocked") for n in (2000, 5000))
+    assert got["fuse16", 5000]["measured_rate"] < 0.001
+    both = {r["structure"]: r for r in reports.comparison_report(spark, 5000, 0.01, 20_000).collect()}
+    assert both["bloom"]["bits_per_key"] == pytest.approx(9.59, abs=0.01) and 0.003 < both["spark"]["measured_rate"] < 0.03
