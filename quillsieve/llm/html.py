@@ -29,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -45,6 +46,7 @@ SAMPLE = 8
 SALTS = 16
 MAX_BYTES = 262_144
 MAX_DEPTH = 200
+CELLS = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 # HTML's element kinds.
@@ -182,24 +184,54 @@ def hypothesis(node: Node, linked: bool = False) -> list:
     return [node.key, "", slot, _fold(children), texts + len(slot), links + len(slot) * linked]
 
 
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places, ascending, at which two key sequences are aligned: a longest common subsequence.
+
+    Above CELLS cells of its table each key is taken where it comes next, which
+    is a common subsequence too, though it may not be the longest.
+    """
+    head = next((k for k, (i, j) in enumerate(zip(x, y, strict=False)) if i != j), min(len(x), len(y)))
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    u, v = x[head : len(x) - tail], y[head : len(y) - tail]
+    found, i, j = [(k, k) for k in range(head)], 0, 0
+    if len(u) * len(v) <= CELLS:
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i in range(len(u) - 1, -1, -1):
+            for j in range(len(v) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if u[i] == v[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(u) and j < len(v):
+            if u[i] == v[j]:
+                found.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, list[int]] = {}
+        for k, key in enumerate(v):
+            places.setdefault(key, []).append(k)
+        for i, key in enumerate(u):
+            at = places.get(key, [])
+            k = bisect.bisect_left(at, j)
+            if k < len(at) and at[k] - j <= 50:
+                found.append((head + i, head + at[k]))
+                j = at[k] + 1
+    return found + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of both wrappers of an element."""
     x, y = a[CHILDREN], b[CHILDREN]
-    kx, ky = [c[KEY] for c in x], [c[KEY] for c in y]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if kx[i] == ky[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and kx[i] == ky[j]:
-            out.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-        else:
-            left = j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1])
-            alone = x[i] if left else y[j]
-            out.append([alone[KEY], _flags(alone[FLAGS], "?"), *alone[SLOT:]])
-            i, j = i + left, j + (not left)
+    for to_i, to_j in [*matches([c[KEY] for c in x], [c[KEY] for c in y]), (len(x), len(y))]:
+        out += [[c[KEY], _flags(c[FLAGS], "?"), *c[SLOT:]] for c in x[i:to_i] + y[j:to_j]]
+        if to_i < len(x):
+            out.append(align(x[to_i], y[to_j]))
+        i, j = to_i + 1, to_j + 1
     return [a[KEY], _flags(a[FLAGS], b[FLAGS]), a[SLOT] if a[SLOT] == b[SLOT] else None, _fold(out), a[TEXTS] + b[TEXTS], a[LINKED] + b[LINKED]]
 
 

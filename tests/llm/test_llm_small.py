@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from quillsieve.llm import elias_fano, html, langid, packing, quality, simhash, token_files
 from quillsieve.llm.tokenizing import ChunkEncoder
 
-texts = st.text(alphabet=st.sampled_from("aB é\n\t .ß\x0b\x0c\xa0　 'sß1中😀"), max_size=40)
+texts = st.text(alphabet=st.sampled_from("aB é\n\t .É!#-ſŁ\u0301×ß\x0b\x0c\xa0　 'sß1中😀"), max_size=40)
 
 
 @given(st.lists(st.integers(0, 2**40), max_size=300), st.data())
@@ -253,6 +253,36 @@ def test_broken_pages(bad):
     assert html.extract("<div>" * 5000 + "deep", None) == "deep" and html.extract("&amp;&#x41;", None) == "&A"
 
 
+keys = st.lists(st.sampled_from("abcd"), max_size=12)
+
+
+@settings(deadline=None)
+@given(keys, keys, st.booleans())
+def test_matches(x, y, few):
+    cells, html.CELLS = html.CELLS, -1 if few else html.CELLS
+    try:
+        found = html.matches(x, y)
+    finally:
+        html.CELLS = cells
+    assert all(x[i] == y[j] for i, j in found) and all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:], strict=False))
+    if not few:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(found) == best[-1][-1]
+
+
+def test_large_samples_are_aligned_in_time():
+    import random
+
+    rng = random.Random(1)
+    deep = "<div>" * 5000 + "deep"
+    wide = ["".join(f"<{rng.choice(['p', 'h2', 'ul', 'table'])}>x{k}" for k in range(20_000)) for _ in range(3)]
+    wrapper = html.infer([deep, *wide])
+    assert all(html.extract(w, wrapper) for w in wide)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<b>", "</b>", "x", " ", "<article>", "</article>", "<li>", "<ul>", "</ul>", "<br>", "<td>", "<script>", "</script>", "<!--", "-->", "&lt;"]), max_size=25))
 def test_any_markup_is_taken(parts):
