@@ -6,29 +6,46 @@ tokenizers library encodes only new ones. Texts are cut only where the
 tokenizer itself can never join what stands on both sides, so the ids are those
 of the whole text:
 
-- "dropped": tokenizers that drop white space. Cut at ASCII white space.
+- "dropped": tokenizers that drop white space and case. Cut at ASCII white space.
 - "kept": byte-level tokenizers whose words may start with a space. Cut where a
   run of space, tab, line feed or carriage return begins; every token boundary
   rule of such a tokenizer puts a boundary there. A text with other white space
   is encoded in one piece.
+
+Both are also cut between letters and a punctuation mark behind them, other than
+an apostrophe. A chunk of letters alone is one word to the tokenizer, and goes
+straight to its merging model; others go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 #: Chunks that a worker remembers, and the longest that it remembers.
-CACHED = 400_000
+CACHED = 200_000
 LONGEST = 48
 
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+# Letters that no tokenizer here joins with what _END lets stand behind them.
+_LETTERS, _LOWER, _END = "a-zA-ZÀ-ÖØ-öø-ɏ", "a-zß-öø-ÿ", r"(?![^\s.,!#$%&*|])"
+_KEPT = re.compile(rf" ?[{_LETTERS}]++{_END}|\n(?=[{_LETTERS}])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_DROPPED = re.compile(rf"[{_LOWER}]++{_END}|[^ \t\n\r\x0b\x0c]+")
+_WORD = {True: re.compile(rf" ?[{_LETTERS}]+"), False: re.compile(rf"[{_LOWER}]+")}
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _open: dict = {}
 
 
+def _byte_letters() -> list[str]:
+    """The character by which byte-level tokenizers write each byte: itself if it is printable, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Encodes texts to bytes of little-endian ids of type `kind`."""
 
@@ -40,38 +57,59 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         if spaces not in ("kept", "dropped"):
             raise ValueError(f"spaces is {spaces!r}, not 'kept' or 'dropped'")
-        self.kept, self.kind = spaces == "kept", kind
-        self.known: dict = {}
-
-    def _fresh(self, chunks: list) -> list[bytes]:
-        texts = chunks if self.kept else [c.decode() for c in chunks]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kept, self.kind = spaces == "kept", np.dtype(kind)
+        self.merge, self.code = self.tokenizer.model.tokenize, {2: "H", 4: "I"}[self.kind.itemsize]
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are packed in the machine's order, which must be little-endian")
+        self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
+        self.word = _WORD[self.kept].fullmatch
+        self.known = _Known(self, {})
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text that goes through the tokenizer in one piece."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _chunks(self, text: str) -> list | None:
         if not self.kept:
-            return text.encode().split()
-        return None if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
+            return _DROPPED.findall(text.encode().lower().decode())  # A-Z alone
+        return None if _OTHER_SPACE.search(text) else _KEPT.findall(text)
+
+    def _word(self, chunk: str) -> bytes:
+        """The ids of a chunk of letters, by the tokenizer's merging model."""
+        if chunk.isascii():
+            own = self.letters[32] + chunk[1:] if chunk[0] == " " else chunk
+        else:
+            own = chunk.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.merge(own)]).tobytes()
 
     def encode(self, text: str) -> bytes:
+        """The text's ids."""
         chunks = self._chunks(text)
         if chunks is None:
-            return self._fresh([text])[0]
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CACHED:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        found = {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found |= zip(part, self._fresh(part), strict=True)
-        short = {c: v for c, v in found.items() if len(c) <= LONGEST}
-        if len(short) <= CACHED:
-            known |= short
-        return b"".join([known[c] if c in known else found[c] for c in chunks])
+            return self.whole(text)
+        if len(self.known) > CACHED:
+            self.known = _Known(self, self.known)
+        return b"".join(map(self.known.__getitem__, chunks))
+
+    def fresh(self, chunk: str) -> bytes:
+        """The ids of a chunk that is met for the first time."""
+        return self._word(chunk) if self.word(chunk) else self.whole(chunk)
+
+
+class _Known(dict):
+    """Ids by chunk; a chunk that is not there is encoded. What was known before the last clearing is kept once more, so frequent chunks stay."""
+
+    def __init__(self, of: ChunkEncoder, older: dict) -> None:
+        super().__init__()
+        self.fresh, self.older = of.fresh, dict(older)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.fresh(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
 
 
 def encoder(path: str, spaces: str, kind: str = "<u4") -> ChunkEncoder:
