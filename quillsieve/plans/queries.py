@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -425,8 +426,6 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BLOOM_ORDERS.select(UNITED))
 def stream_bloom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as a stream, absorbed by a live filter; the words are those of one build."""
-    import uuid
-
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
     home = f"{shared}/live-{uuid.uuid4().hex}"

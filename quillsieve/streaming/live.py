@@ -9,6 +9,8 @@ two writes leaves the one before.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -42,8 +44,6 @@ class LiveFilter:
 
     def absorb(self, batch: DataFrame, number: int, key: str | Column = "key") -> None:
         """Add a micro-batch's keys; safe to repeat."""
-        import uuid
-
         name = f"{number}-{uuid.uuid4().hex}"
         fresh = build.words_of(build.keys_of(batch, key), self.like)
         build.united(self.words(), fresh).write.parquet(f"{self.path}/words/{name}")
