@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,8 +78,8 @@ def range_cuts(df: DataFrame, key: str, parts: int) -> list:
 def range_of(key: Column, cuts: list) -> Column:
     """Index of the range that key falls in; null keys fall in the last one.
 
-    Two short comparisons lists instead of one long: the square root of the
-    number of cuts each.
+    Two short lists of comparisons instead of a long one: about the square root
+    of the number of cuts each.
     """
     if len(cuts) < 2:
         return F.lit(0)
@@ -99,11 +98,6 @@ def range_of(key: Column, cuts: list) -> Column:
     return F.when(key.isNull(), F.lit(len(cuts) - 1)).otherwise(found).cast("int")
 
 
-def range_of_value(value, cuts: list) -> int:
-    """The same for one value, in Python."""
-    return len(cuts) - 1 if value is None else max(0, bisect.bisect_right(cuts, value) - 1)
-
-
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema and more fields, nullable."""
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))

@@ -229,7 +229,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands
         if not n:
             break
         blocks = -(-n // block)
-        packed = _packed_blocks(left.withColumn("uid", F.col("uid")), capacity, islands, epochs, blocks)
+        packed = _packed_blocks(left, capacity, islands, epochs, blocks)
         packed = packed.withColumn("sequence_id", (F.col("block") * rounds + again) * (2 * block + block) + F.col("bin"))
         last = blocks == 1 or again + 1 == rounds
         packed = cut_lineage(packed)
