@@ -241,10 +241,10 @@ def bloom_anti_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.anti_join(left, table(spark, sf_dir, "orders").where(URGENT).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "blocked")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 200)")
 def stream_dedup_exact_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_type")
-    seen = events.where("event_type = 'purchase'").select("user_id")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    seen = events.where("event_type = 'purchase' and value > 200").select("user_id")
     return live.distinct_exactly(events.where("event_type = 'click'").select("user_id"), seen, "user_id")
 
 
