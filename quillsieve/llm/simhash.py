@@ -182,7 +182,11 @@ def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFr
     without an id one stays for each text. The texts are not shuffled unless
     the dropped ids are too many to broadcast.
     """
-    found = near_duplicates(documents, shingle)
+    return keep_one(documents, near_duplicates(documents, shingle))
+
+
+def keep_one(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """As drop_near_duplicates, by components found(doc_id, component_id) of any method."""
     lost = cut_lineage(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
     n = lost.count()
     kept = documents.join(broadcast_if_small(lost, n), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -19,7 +19,7 @@ from test_llm_small import brute_simhash, page
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillsieve.llm import components, fingerprints, html, langid, mixing, packing, quality, queries, rules, simhash, token_files, urls
+from quillsieve.llm import components, fingerprints, html, langid, mixing, near_copies, packing, quality, queries, rules, simhash, token_files, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,6 +279,48 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, block):
     assert ids == sorted({d for (d, k), c in want.items() if d is not None and d == c and d < 100} | {0})
 
 
+def five_words(text) -> frozenset:
+    w = (text or "").translate({i: i + 32 for i in range(65, 91)}).split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_near_copies(texts: dict) -> dict:
+    """The least id of each id's component of pairs with a five-word similarity of 0.8 or more."""
+    sets = {d: five_words(t) for d, t in texts.items()}
+    holders, least = {}, {d: d for d in texts}
+    for d, s in sets.items():
+        for x in s or {""}:
+            holders.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in holders.values() for k, a in enumerate(ds) for b in ds[:k]}
+
+    def find(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for a, b in pairs:
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+    return {d: find(d) for d in texts}
+
+
+def test_the_pipeline_finds_near_copies_of_five_words(spark, docs, empty):
+    whole = frame(spark, "/root/testdata/sf0.01", "documents")
+    texts = dict(zip(whole.doc_id, whole.text, strict=True))
+    base = [f"w{i}" for i in range(200)]
+    for k in range(12):  # a chain, of which only neighbours are near, and copies that differ in case
+        texts[10**6 + k] = " ".join(base[6 * k :] + [f"v{i}" for i in range(6 * k)])
+    texts[10**6 + 50], texts[10**6 + 51], texts[10**6 + 52] = " ".join(base).upper(), None, ""
+    want = brute_near_copies(texts)
+    assert sum(d != c for d, c in want.items()) > 11
+    every = spark.createDataFrame([(int(d), t) for d, t in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(every).collect()} == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, every, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert near_copies.near_copies(docs).count() == len(ROWS) and near_copies.near_copies(empty).count() == 0
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)]
