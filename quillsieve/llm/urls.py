@@ -8,9 +8,11 @@ log-likelihoods divided by its length, and allowed at or above a threshold
 calibrated on a quarter of the labelled URLs that the models do not learn from.
 Counting covers every labelled URL; all of it is built-in column arithmetic.
 
-The model travels in the plan as two arrays of numbers, in buckets by the hash of
-a gram or context: one number each, of at most the `most` most frequent. That
-bound is a parameter and does not depend on the input.
+No gram or context is left out. As long as there are at most `most` of either,
+the model travels in the plan as two arrays of numbers, in buckets by the hash of
+a gram or context. A larger one stays a table: each distinct gram of ORDER
+characters of the URLs is given its log-ratio by joins, and a URL's score is the
+sum over its grams. Both count in whole thousandths, so their scores are equal.
 
 Edge cases: null URLs and those without :// have an empty host and path and no
 rule; the empty URL has score 0; without labelled URLs of both kinds every
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from quillsieve.llm.common import cut_lineage, let
 
 ORDER = 4
-MOST = 1 << 16  # grams, and contexts, that the model keeps
+MOST = 1 << 16  # grams, and contexts, of a model that travels in the plan
+HOT = 1 << 14  # grams that are joined by broadcast
 BITS, HALF = 24, 1 << 23
 ALPHABET = 256
 PAD = "^" * (ORDER - 1)
@@ -111,17 +114,17 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grams, backoff
 
 
+def _thousandths(value: Column) -> Column:
+    return F.greatest(F.least(F.round(value * 1000), F.lit(HALF - 1)), F.lit(1 - HALF)).cast("long")
+
+
 def _entry(gram: Column, value: Column) -> Column:
     """A gram's check bits (40 of its hash) and its value in thousandths (24), in one long."""
-    thousandths = F.greatest(F.least(F.round(value * 1000), F.lit(HALF - 1)), F.lit(1 - HALF)).cast("long") + HALF
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), BITS), BITS).bitwiseOR(thousandths)
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), BITS), BITS).bitwiseOR(_thousandths(value) + HALF)
 
 
-def _packed(values: DataFrame, key: str, most: int) -> tuple[str, int]:
-    """(JSON of an array of buckets of entries, number of buckets) of the most frequent values."""
-    n = values.count()
-    if n > most:
-        values, n = values.orderBy(F.desc("n"), key).limit(most), most
+def _packed(values: DataFrame, key: str, n: int) -> tuple[str, int]:
+    """(JSON of an array of buckets of entries, number of buckets) of all n values."""
     buckets = 1 << max(0, n - 1).bit_length()
     slot = F.pmod(F.xxhash64(key), F.lit(buckets))
     full = values.groupBy(slot.alias("id")).agg(F.sort_array(F.collect_list(_entry(F.col(key), F.col("v")))).alias("b"))
@@ -131,10 +134,14 @@ def _packed(values: DataFrame, key: str, most: int) -> tuple[str, int]:
 
 
 def _found(model: Column, gram: Column, buckets: int) -> Column:
-    """The gram's value in a packed model, or null."""
+    """The gram's value in a packed model, in thousandths, or null."""
     h = F.xxhash64(gram)
     own = F.filter(F.get(model, F.pmod(h, F.lit(buckets)).cast("int")), lambda e: F.shiftrightunsigned(e, BITS) == F.shiftrightunsigned(h, BITS))
-    return (F.get(own, F.lit(0)).bitwiseAND((1 << BITS) - 1) - HALF) / 1000.0
+    return (F.get(own, F.lit(0)).bitwiseAND((1 << BITS) - 1) - HALF)
+
+
+def _mean(thousandths: Column, length: Column) -> Column:
+    return thousandths / 1000.0 / F.greatest(length, F.lit(1))
 
 
 def score(url: Column, grams: tuple[str, int], backoff: tuple[str, int]) -> Column:
@@ -144,19 +151,44 @@ def score(url: Column, grams: tuple[str, int], backoff: tuple[str, int]) -> Colu
     model = F.struct(F.from_json(F.lit(grams[0]), kind).alias("value"), F.from_json(F.lit(backoff[0]), kind).alias("weight"))
 
     def at(m: Column, chars: Column, i: Column) -> Column:
-        found = F.lit(0.0)
+        found = F.lit(0).cast("long")
         for n in range(1, ORDER + 1):
             context = F.concat(*[F.get(chars, i + (ORDER - n + k)) for k in range(n - 1)]) if n > 1 else F.lit("")
-            found = F.coalesce(_found(m["weight"], context, backoff[1]), F.lit(0.0)) + found
+            found = F.coalesce(_found(m["weight"], context, backoff[1]), F.lit(0)) + found
             found = F.coalesce(_found(m["value"], _gram(chars, i, n), grams[1]), found)
         return found
 
     def total(m: Column, c: Column) -> Column:
-        return F.aggregate(_ends(c), F.lit(0.0), lambda acc, i: acc + at(m, c, i)) / F.greatest(F.size(c) - (ORDER - 1), F.lit(1))
+        return _mean(F.aggregate(_ends(c), F.lit(0).cast("long"), lambda acc, i: acc + at(m, c, i)), F.size(c) - (ORDER - 1))
 
     return F.when(F.coalesce(url, F.lit("")) == "", 0.0).otherwise(let(model, lambda m: let(_chars(url), lambda c: total(m, c))))
 
 
+def scores(urls: DataFrame, grams: DataFrame, backoff: DataFrame) -> DataFrame:
+    """url and score of the distinct URLs of urls(url) that are not empty: as score(), by joins with the whole model.
+
+    The most frequent grams are met by a broadcast join, as every URL may have
+    them; the others by a shuffle join.
+    """
+    own = cut_lineage(urls.select("url").where("url <> ''").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    chars = _chars(F.col("url"))
+    ends = own.select("_id", F.explode(let(chars, lambda c: F.transform(_ends(c), lambda i: _gram(c, i, ORDER)))).alias("full"))
+    asked = cut_lineage(ends.groupBy("full").agg(F.count("*").alias("often")))
+    held, found = asked, F.lit(0).cast("long")
+    for n in range(1, ORDER + 1):
+        # of the gram's last n characters, and of those without the last one
+        tail, context = F.substring("full", ORDER - n + 1, n), F.substring("full", ORDER - n + 1, n - 1)
+        held = held.withColumn("_g", tail).join(grams.select(F.col("gram").alias("_g"), _thousandths(F.col("v")).alias(f"_v{n}")), "_g", "left").drop("_g")
+        held = held.withColumn("_c", context).join(backoff.select(F.col("context").alias("_c"), _thousandths(F.col("v")).alias(f"_w{n}")), "_c", "left").drop("_c")
+        found = F.coalesce(F.col(f"_v{n}"), F.coalesce(F.col(f"_w{n}"), F.lit(0)) + found)
+    valued = cut_lineage(held.select("full", "often", found.alias("v")))
+    often = cut_lineage(valued.orderBy(F.desc("often"), "full").limit(HOT).select("full", F.col("v").alias("hot")))
+    met = ends.join(F.broadcast(often), "full", "left")
+    rest = met.where("hot is null").select("_id", "full").join(valued.select("full", "v"), "full").select("_id", "v")
+    total = met.where("hot is not null").select("_id", F.col("hot").alias("v")).unionByName(rest).groupBy("_id").agg(F.sum("v").alias("total"))
+    return own.join(total, "_id").select("url", _mean(F.col("total"), F.size(chars) - (ORDER - 1)).alias("score"))
+
+
 def threshold(scored: DataFrame) -> float:
     """The score at which accepted(boolean) of scored(score, accepted) parts best: least mean of both error rates. 0 unless there are rows of both kinds."""
     step = F.least(F.greatest(F.floor(F.col("score") / STEP), F.lit(-1000)), F.lit(1000))
@@ -178,8 +210,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule], most: int = MOST) -> DataFr
     kinds = counts.where("length(gram) = 1").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
     found, limit = F.lit(0.0), 0.0
     if kinds["a"] and kinds["r"]:
-        found = score(F.col("url"), _packed(grams, "gram", most), _packed(backoff, "context", most))
-        limit = threshold(labelled.where(calibrating).withColumn("score", found))
+        n_grams, n_contexts = grams.count(), backoff.count()
+        if max(n_grams, n_contexts) <= most:
+            found = score(F.col("url"), _packed(grams, "gram", n_grams), _packed(backoff, "context", n_contexts))
+            limit = threshold(labelled.where(calibrating).withColumn("score", found))
+        else:
+            asked = parsed.where("_rule is null").select("url").union(labelled.where(calibrating).select("url"))
+            known = cut_lineage(scores(asked, grams, cut_lineage(backoff)))
+            found = F.coalesce("score", F.lit(0.0))
+            limit = threshold(labelled.where(calibrating).join(known, "url", "left").withColumn("score", found))
+            parsed = parsed.join(known, "url", "left")
     open_rows = parsed.withColumn("score", F.when(F.col("_rule").isNull(), found))
     verdict = F.coalesce("_rule.verdict", F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return open_rows.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))

@@ -242,6 +242,14 @@ def test_url_scores_equal_brute_force(spark):
             assert r["score"] == pytest.approx(score(r["url"]), abs=0.002)
 
 
+def test_a_model_that_does_not_fit_the_plan_scores_alike(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    odd = [(10**6 + i, u) for i, u in enumerate(URLS)] + [(10**6, URLS[-1])]
+    pages = pages.union(spark.createDataFrame(odd, "page_id long, url string"))
+    whole, joined = (sorted(map(str, urls.filter_urls(pages, queries.URL_RULES, most).collect())) for most in (1 << 20, 10))
+    assert whole == joined
+
+
 def brute_components(fps: dict) -> dict:
     items = list(fps.items())
     parent = list(range(len(items)))
