@@ -141,10 +141,11 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper's element: [key, flags, slot, children, texts, linked]
+# A wrapper's element: [key, flags, slot, children, texts, linked, pages]
 # flags: "?" optional, "+" repeated; slot: the text that all pages share, None if
-# they differ; texts and linked: lengths of the texts seen below, and of those in links.
-KEY, FLAGS, SLOT, CHILDREN, TEXTS, LINKED = range(6)
+# they differ; texts and linked: lengths of the texts seen below, and of those in links;
+# pages: how many pages have the element (of a repeated one, at least how many).
+KEY, FLAGS, SLOT, CHILDREN, TEXTS, LINKED, PAGES = range(7)
 
 
 def _flags(*sets: str) -> str:
@@ -161,7 +162,7 @@ def _fold(children: list[list]) -> list[list]:
                 again = out[-period:]
                 del out[-period:]
                 for k in range(period):
-                    merged = align(out[k - period], again[k])
+                    merged = align(out[k - period], again[k], max)
                     merged[FLAGS] = _flags(merged[FLAGS], "+")
                     out[k - period] = merged
         children = out
@@ -181,7 +182,7 @@ def hypothesis(node: Node, linked: bool = False) -> list:
             texts += w[TEXTS]
             links += w[LINKED]
     slot = " ".join(entities.unescape("".join(own)).split())
-    return [node.key, "", slot, _fold(children), texts + len(slot), links + len(slot) * linked]
+    return [node.key, "", slot, _fold(children), texts + len(slot), links + len(slot) * linked, 1]
 
 
 def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
@@ -223,16 +224,20 @@ def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     return found + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of both wrappers of an element."""
+def _sum(a: int, b: int) -> int:
+    return a + b
+
+
+def align(a: list, b: list, pages=_sum) -> list:
+    """The wrapper of both wrappers of an element; pages: of their numbers of pages, max where they may be the same pages."""
     x, y = a[CHILDREN], b[CHILDREN]
     out, i, j = [], 0, 0
     for to_i, to_j in [*matches([c[KEY] for c in x], [c[KEY] for c in y]), (len(x), len(y))]:
         out += [[c[KEY], _flags(c[FLAGS], "?"), *c[SLOT:]] for c in x[i:to_i] + y[j:to_j]]
         if to_i < len(x):
-            out.append(align(x[to_i], y[to_j]))
+            out.append(align(x[to_i], y[to_j], pages))
         i, j = to_i + 1, to_j + 1
-    return [a[KEY], _flags(a[FLAGS], b[FLAGS]), a[SLOT] if a[SLOT] == b[SLOT] else None, _fold(out), a[TEXTS] + b[TEXTS], a[LINKED] + b[LINKED]]
+    return [a[KEY], _flags(a[FLAGS], b[FLAGS]), a[SLOT] if a[SLOT] == b[SLOT] else None, _fold(out), a[TEXTS] + b[TEXTS], a[LINKED] + b[LINKED], pages(a[PAGES], b[PAGES])]
 
 
 def as_expression(w: list) -> str:
@@ -262,7 +267,7 @@ def compile_wrapper(w: list, pages: int) -> list:
         tag, words = named(x[KEY])
         return tag in ("article", "main") or tag in ("div", "section") and bool(words & ARTICLE_WORDS) and not words & JUNK_WORDS
 
-    def build(x: list, inside: bool) -> list:
+    def build(x: list, inside: bool, again: bool = False) -> list:
         tag, words = named(x[KEY])
         role = ""
         large = tag not in JUNK_TAGS and x[TEXTS] > 0.6 * total  # its name misleads
@@ -272,8 +277,9 @@ def compile_wrapper(w: list, pages: int) -> list:
             role = "a"
         elif not inside and x[TEXTS] > 0 and x[LINKED] > 0.5 * x[TEXTS] and tag in ("div", "ul", "ol", "section", "table", "p"):
             role = "d"
-        shared = x[SLOT] if pages >= 3 and x[SLOT] and "+" not in x[FLAGS] and not inside and role != "a" else None
-        return [x[KEY], int("+" in x[FLAGS]), role, shared, [build(c, inside or role == "a") for c in x[CHILDREN]] if role != "d" else []]
+        again = again or "+" in x[FLAGS]
+        shared = x[SLOT] if pages >= 3 and x[SLOT] and x[PAGES] == w[PAGES] and not again and not inside and role != "a" else None
+        return [x[KEY], int("+" in x[FLAGS]), role, shared, [build(c, inside or role == "a", again) for c in x[CHILDREN]] if role != "d" else []]
 
     return build(w, False)
 

@@ -246,6 +246,12 @@ def test_a_host_without_article_loses_shared_texts_and_links():
     assert [html.extract(p, wrapper) for p in pages] == [f"Story {k} here end {k}" for k in range(5)]
 
 
+def test_a_text_that_one_page_has_is_kept():
+    pages = [f"<body><p>Shared line</p><div>Story {k} here</div>{'<h2>Only here</h2><blockquote><p>A quote</p></blockquote>' if k == 4 else ''}</body>" for k in range(8)]
+    wrapper = html.infer(pages)
+    assert [html.extract(p, wrapper) for p in pages] == [f"Story {k} here" + " Only here A quote" * (k == 4) for k in range(8)]
+
+
 @pytest.mark.parametrize("bad", ["", None, "<", "<p", "<a href='x", "</p></p>text", "<div>" * 5000 + "deep", "<!-- x", "<script>x", "&amp;&#x41;&nope;", "<p>a<table><tr><td>b<td>c</table>"])
 def test_broken_pages(bad):
     for wrapper in (None, html.infer(["<p>x</p>"])):
