@@ -68,10 +68,11 @@ ARTICLE_WORDS = frozenset("article content post entry story main".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</(?P<end>[a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)"
-    r"|<(?P<tag>[a-zA-Z][^\s>/]*)(?P<rest>(?:[^>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>|[^>]*(?:>|\Z))"
+    r"|<(?P<tag>[a-zA-Z][^\s>/]*)"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
+_PLAIN = re.compile(r"[^>\"']*")
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|\b(hidden)\b(?!\s*=)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s>/]|\Z)", re.I) for t in RAW}
@@ -85,10 +86,33 @@ class Node:
         self.children: list = []  # nodes and texts
 
 
+def _tag_end(page: str, at: int, last: dict[str, int], dead: set[int]) -> int:
+    """Where the tag whose attributes begin at `at` ends: after the first > outside quotes, or, if a quote is not closed, after the first >.
+
+    last: the page's last place of either quote, so that one that is not closed is known without a search;
+    dead: places of quotes from which no end was found, so that none is passed twice.
+    """
+    k, seen = at, []
+    while True:
+        k = _PLAIN.match(page, k).end()
+        if k == len(page):
+            break
+        if page[k] == ">":
+            return k + 1
+        seen.append(k)
+        if last[page[k]] <= k or k in dead:
+            break
+        k = page.find(page[k], k + 1) + 1
+    dead.update(seen)
+    end = page.find(">", at)
+    return end + 1 if end >= 0 else len(page)
+
+
 def parse(page: str) -> Node:
     """The page's elements, nested; texts are not decoded."""
     root = Node("#root", frozenset(), "#root")
     stack, flat, at = [root], {}, 0
+    last, dead = {q: page.rfind(q) for q in "\"'"}, set()
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -108,7 +132,8 @@ def parse(page: str) -> Node:
                 if bounded and stack[k].tag in SCOPE:
                     break
         elif m["tag"]:
-            tag, rest = m["tag"].lower(), m["rest"]
+            at = _tag_end(page, m.end(), last, dead)
+            tag, rest = m["tag"].lower(), page[m.end() : at]
             names = [a or b or c or d for _, a, b, c, d in _NAME.findall(rest)] if "=" in rest or "hidden" in rest else []
             words = frozenset(_WORD.findall(" ".join(names).lower())) if names else frozenset()
             if tag not in INLINE and tag != "br":  # a block ends a paragraph

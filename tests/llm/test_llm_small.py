@@ -246,6 +246,13 @@ def test_a_host_without_article_loses_shared_texts_and_links():
     assert [html.extract(p, wrapper) for p in pages] == [f"Story {k} here end {k}" for k in range(5)]
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_a_long_attribute_stays_in_its_tag(quote):
+    value = "<b>not text</b></article>" * 1000
+    assert html.extract(f"<article>a <i data-x={quote}{value}{quote}>b</i> c</article>", None) == "a b c"
+    assert html.extract("<p title='x>open</p>" + "<p>it</p>", None) == "open it"
+
+
 def test_a_text_that_one_page_has_is_kept():
     pages = [f"<body><p>Shared line</p><div>Story {k} here</div>{'<h2>Only here</h2><blockquote><p>A quote</p></blockquote>' if k == 4 else ''}</body>" for k in range(8)]
     wrapper = html.infer(pages)
