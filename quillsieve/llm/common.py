@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,8 @@ SPACES = "\t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 #: Most cut points of a range split; they travel inside the plan.
 MAX_CUTS = 65_536
+#: Keys that hold more than one row in so many of a table, times its partitions, are joined by broadcast.
+HOT_SHARE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set
-    (tests on one machine) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where none is set, on
+    a local master (tests on one machine), a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillsieve-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame) -> Column:
+    """The whole row as one struct column `row`, so that added columns clash with none of its names; select("row.*") unpacks it."""
+    return F.struct(*columns_of(df)).alias("row")
 
 
 def let(value: Column, body) -> Column:
@@ -60,36 +86,66 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def with_values(df: DataFrame, key: str, values: DataFrame, count: str, hot_share: int = HOT_SHARE) -> DataFrame:
+    """df with the columns of values, which has one row for each key of df and in `count` how many rows of df have it.
+
+    Keys that many rows share meet them by broadcast, all others by a shuffle
+    join: no task gets all rows of a frequent key. At most hot_share times the
+    shuffle partitions can be so frequent, so what is broadcast is bounded.
+    """
+    values = cut_lineage(values)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = values.agg(F.sum(count)).first()[0] or 0
+    limit = total / (hot_share * parts)
+    hot = values.where(F.col(count) > limit).drop(count)
+    if not hot.take(1):
+        return df.join(values.drop(count), key)
+    names = [c for c in values.columns if c not in (key, count)]
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    cold = marked.where("_hot is null").drop("_hot", *names).join(values.where(F.col(count) <= limit).drop(count), key)
+    return marked.where("_hot").drop("_hot").unionByName(cold)
+
+
 def range_cuts(df: DataFrame, key: str, parts: int) -> list:
     """Sorted values of key that are present in df; range i starts exactly at cut i.
 
     Made of the smallest key and approximate quantiles, each of which is a
-    present value. Empty where no key is non-null.
+    present value; for keys that are not numbers, of those whose hashes are
+    least. Empty where no key is non-null.
     """
     parts = max(1, min(parts, MAX_CUTS))
     at = [i / parts for i in range(1, parts)]
+    number = isinstance(df.schema[key].dataType, T.NumericType)
     wanted = [F.min(key).alias("lo")]
-    if at:
+    if at and number:
         wanted.append(F.percentile_approx(key, at, max(10_000, 4 * parts)).alias("q"))
     row = df.agg(*wanted).first()
-    return [] if row["lo"] is None else sorted({row["lo"], *((row["q"] or []) if at else [])})
+    if row["lo"] is None:
+        return []
+    if at and not number:
+        some = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(4 * parts)
+        drawn = sorted(r[0] for r in some.collect())
+        return sorted({row["lo"], *(drawn[len(drawn) * i // parts] for i in range(1, parts))})
+    return sorted({row["lo"], *((row["q"] or []) if at else [])})
+
 
+def as_array(cuts: list, kind: str) -> Column:
+    """Cuts as one literal array; kind: the keys' type."""
+    return F.from_json(F.lit(json.dumps(cuts, default=str)), f"array<{kind}>")
 
-def range_of(key: Column, cuts: list) -> Column:
+
+def range_of(key: Column, cuts: list, kind: str = "bigint") -> Column:
     """Index of the range that key falls in; null keys fall in the last one.
 
     Two short lists of comparisons instead of a long one: about the square root
-    of the number of cuts each.
+    of the number of cuts each. kind: the keys' type.
     """
     if len(cuts) < 2:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     heads = cuts[::step]
     groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    kind = "array<bigint>"
-    text = lambda xs: "[" + ",".join(map(str, xs)) + "]"
-    head_list = F.from_json(F.lit(text(heads)), kind)
-    group_list = F.from_json(F.lit("[" + ",".join(map(text, groups)) + "]"), "array<array<bigint>>")
+    head_list, group_list = as_array(heads, kind), as_array(groups, f"array<{kind}>")
     count = lambda xs, k: F.size(F.filter(xs, lambda c: c <= k))
     found = let(
         F.greatest(count(head_list, key) - 1, F.lit(0)),
@@ -98,6 +154,16 @@ def range_of(key: Column, cuts: list) -> Column:
     return F.when(key.isNull(), F.lit(len(cuts) - 1)).otherwise(found).cast("int")
 
 
+def bounded_sample(rows: DataFrame, by: str, most_bytes: int) -> DataFrame:
+    """Those of rows(draw, text, by), in each group in the order of draw, that together have at most most_bytes of text.
+
+    For rows that are few already; the first of each group always stays.
+    """
+    so_far = F.sum(F.octet_length("text")).over(W.partitionBy(by).orderBy("draw", "text").rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = F.row_number().over(W.partitionBy(by).orderBy("draw", "text")) == 1
+    return rows.withColumn("_so_far", so_far).withColumn("_first", first).where((F.col("_so_far") <= most_bytes) | F.col("_first")).drop("_so_far", "_first")
+
+
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     """df's schema and more fields, nullable."""
     more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in kinds.items()))
