@@ -9,7 +9,9 @@ built-in column arithmetic.
 Edge cases: a null text is empty; two empty sketches resemble each other fully,
 an empty and a full one not at all; equal texts have equal sketches; rows that
 repeat a doc_id follow each other in the order of their texts' hashes; null ids
-come last; an empty table gives an empty result.
+come last; an empty table gives an empty result; doc_id may be of any type that
+can be ordered and written as text; texts of any length are read whole; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import let, null_to_empty, range_cuts, range_of, words
+from quillsieve.llm.common import as_array, let, null_to_empty, range_cuts, range_of, words
 
 K = 128
 SHINGLE = 5
+ROWS_A_RANGE = 8192
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -87,17 +90,17 @@ def fingerprint_edits(documents: DataFrame, k: int = K) -> DataFrame:
     ascending doc_id; the last document is followed by the first. Documents are
     dealt by ranges of doc_id that start at known ids, and the first of each
     range is sent to the one before it as well: one shuffle of the texts, and no
-    task that sees more than a range.
+    task that sees more than a range. The number of ranges grows with that of the
+    documents.
     """
     spark = documents.sparkSession
-    parts = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = range_cuts(documents, "doc_id", parts)
+    parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // ROWS_A_RANGE)
+    cuts, kind = range_cuts(documents, "doc_id", parts), documents.schema["doc_id"].dataType.simpleString()
     doc = documents.select("doc_id", null_to_empty("text").alias("text")).withColumn("sketch", sketch(F.col("text"), k))
     n = max(1, len(cuts))
-    present = F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
-    starts = F.get(present, F.col("_part")) == F.col("doc_id") if cuts else F.lit(True)
+    starts = F.get(as_array(cuts, kind), F.col("_part")) == F.col("doc_id") if cuts else F.lit(True)
     before = F.pmod(F.col("_part") - 1, F.lit(n))
-    doc = doc.withColumn("_part", range_of(F.col("doc_id"), cuts)).withColumn("_starts", F.coalesce(starts, F.lit(False)))
+    doc = doc.withColumn("_part", range_of(F.col("doc_id"), cuts, kind)).withColumn("_starts", F.coalesce(starts, F.lit(False)))
     places = F.when(F.col("_starts"), F.array(F.struct(F.lit(0).alias("ghost"), F.col("_part").alias("part")), F.struct(F.lit(1).alias("ghost"), before.alias("part")))).otherwise(
         F.array(F.struct(F.lit(0).alias("ghost"), F.col("_part").alias("part")))
     )
