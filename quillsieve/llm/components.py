@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import cut_lineage
+from quillsieve.llm.common import cut_lineage, with_values
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges from which on a node with a share of them is met by broadcast; fewer are no burden for one task.
+MANY = 100_000
+
+
+def _stars(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """One large-star or small-star step: each node's neighbours (the larger ones, or the others) go to its least neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = both if large else both.where("b <= a")
-    least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    moved = (both.where("b > a") if large else both.where("b < a")).join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("m"))
+    least = seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    asked = both.where("b > a") if large else both.where("b < a")
+    met = with_values(asked, "a", least, "n") if many else asked.join(least, "a")
+    moved = met.select(F.col("b").alias("x"), F.col("m").alias("m"))
     if not large:
         moved = moved.union(least.select(F.col("a").alias("x"), "m"))
     return moved.where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
@@ -25,13 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until nothing moves; the number
     of rounds grows with the logarithm of the nodes. Each round is written to
     the checkpoint folder. A node with very many neighbours is met by partial
-    aggregation and joins that AQE splits, never by one task.
+    aggregation, and joined by broadcast, never in one task.
     """
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     digest = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = digest(edges)
     while before[0]:
-        edges = cut_lineage(_stars(_stars(edges, large=True), large=False))
+        many = before[0] > MANY
+        edges = cut_lineage(_stars(_stars(edges, True, many), False, many))
         now = digest(edges)
         if now == before:
             break

@@ -16,7 +16,8 @@ of its links, not all pairs; components follow from these.
 Edge cases: a text of fewer words than a shingle is one shingle; a null text or
 one without words has fingerprint zero, linked like any other; rows that
 repeat a doc_id each count; component_id is the least doc_id that is not null;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored, whatever their
+names; very long texts are read whole, their hashes counted in pieces.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import broadcast_if_small, cut_lineage
+from quillsieve.llm.common import as_row, broadcast_if_small, columns_of, cut_lineage, with_values
 from quillsieve.llm.components import components
 
 SHINGLE = 3
@@ -145,7 +146,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 keys, owners = anchors_of(fps[k : k + 4096].copy())
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owners)], names=["anchor", "fp"])
 
-    sent = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    sent = cut_lineage(distinct.select("fp").mapInArrow(replicate, "anchor long, fp long"))
     counts = cut_lineage(sent.groupBy("anchor").count().where(F.col("count") > BLOCK))
     hot = counts.count()
     alone = F.lit(None).cast("array<bigint>").alias("right")
@@ -166,13 +167,17 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long) and component_id of every row of documents(doc_id, text)."""
     docs = cut_lineage(fingerprints(documents, shingle))
-    distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = cut_lineage(components(links(distinct)))
-    linked = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    joined = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    all_fps = distinct.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return docs.join(all_fps, "fp", "left").select("doc_id", "fp", "component_id")
+    distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    return with_values(docs, "fp", least_ids(distinct, "fp", links(distinct)), "n").select("doc_id", "fp", "component_id")
+
+
+def least_ids(distinct: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """distinct(node, first_id, n, ...) as node, n and component_id: the least first_id of the nodes that edges(a, b) link it to."""
+    roots = components(edges).select(F.col("node").alias("_node"), "root")
+    linked = cut_lineage(distinct.select(node, "first_id").join(roots, F.col(node) == F.col("_node")).select(node, "root", "first_id"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("members"))
+    joined = with_values(linked.select(node, "root"), "root", least, "members").select(node, "least_id")
+    return distinct.join(joined, node, "left").select(node, "n", F.coalesce("least_id", "first_id").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -189,12 +194,15 @@ def keep_one(documents: DataFrame, found: DataFrame) -> DataFrame:
     """As drop_near_duplicates, by components found(doc_id, component_id) of any method."""
     lost = cut_lineage(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
     n = lost.count()
-    kept = documents.join(broadcast_if_small(lost, n), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    kept = documents.join(broadcast_if_small(lost, n), "doc_id", "left_anti").select(*columns_of(documents))
     repeated = cut_lineage(documents.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"))
     n = repeated.count()
     if not n:
         return kept
-    once = kept.join(broadcast_if_small(repeated, n).withColumnRenamed("doc_id", "_again"), F.col("doc_id").eqNullSafe(F.col("_again")), "left").withColumn("_key", F.when(F.col("doc_id").isNull(), F.col("text")))
-    single = once.where("_again is null and doc_id is not null")
-    many = once.where("_again is not null or doc_id is null").dropDuplicates(["doc_id", "_key"])
-    return single.union(many).select(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = kept.select(as_row(kept))
+    id_ = F.col("row.doc_id")
+    repeats = broadcast_if_small(repeated, n).select(F.col("doc_id").alias("again"))
+    once = rows.join(repeats, id_.eqNullSafe(F.col("again")), "left").withColumn("key", F.when(id_.isNull(), F.md5(F.col("row.text").cast("binary"))))
+    single = once.where(F.col("again").isNull() & id_.isNotNull())
+    many = once.where(F.col("again").isNotNull() | id_.isNull()).groupBy(id_.alias("id"), "key").agg(F.first("row").alias("row"))
+    return single.select("row.*").union(many.select("row.*"))
