@@ -7,12 +7,16 @@ whose two nearest codewords lose about the same is flagged ambiguous.
 
 The classifiers learn from a sample of about `per_language` documents of each
 language, whole texts of at most `max_bytes`, drawn by the hash of doc_id and
-never from the held-out quarter. Every document is scored, whole.
-
-Edge cases: a null text or one without a letter is `und` with score 0; so is
-every text where nothing can be learned; with one language learned it is that
-one; rows that repeat a document get equal results; an empty table gives an
-empty result; columns other than doc_id, text and lang are ignored.
+never from the held-out quarter. All languages are learned: the bounds
+`SAMPLE_ROWS` and `SAMPLE_BYTES` of the whole sample are shared among them, and
+every language keeps a document at least. Every document is scored, whole, very
+long ones in pieces.
+
+Edge cases: a null text or one without a letter (Unicode category L) is `und`
+with score 0; so is every text where nothing can be learned; with one language
+learned it is that one; of languages equally near the first in the alphabet
+wins; rows that repeat a document get equal results; an empty table gives an
+empty result; all columns are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,17 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import in_held_out, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, broadcast_if_small, in_held_out, with_fields
 
 DIMS = 8192
 PER_LANGUAGE = 400
 MAX_BYTES = 65_536
-MAX_LANGUAGES = 256
+SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 48 << 20
 AMBIGUOUS = 0.6  # scores below this are flagged
 SCALE = 100.0
 CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some numerals, which are no letters
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -47,6 +52,10 @@ class Model(NamedTuple):
     bias: np.ndarray
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """A code for n languages: all splits of the languages in two up to 6 of them, else random splits in which no two languages are close."""
     if n <= 6:
@@ -56,7 +65,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(n)))
     tries = (rng.choice([-1, 1], (n, bits)) for _ in range(50))
-    return max(tries, key=lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i)))
+    alike = lambda c: np.triu(c @ c.T, 1)  # noqa: E731  the more bits differ, the smaller
+    return min(tries, key=lambda c: (alike(c) + np.tril(np.full((n, n), -bits))).max())
 
 
 def trigram_slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +106,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 120, rate: float = 0.5
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Languages and scores (the soft-max share of the nearest codeword)."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    usable = [i for i, t in enumerate(texts) if t and has_letter(t)]
     if model is None or not usable:
         return langs, scores
     at = 0
@@ -126,26 +136,27 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Model | None:
     """A model of the languages of documents(doc_id, text, lang), from a bounded sample of rows that are not held out."""
-    rows = documents.where(~in_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    rows = documents.select("doc_id", "text", "lang").where(~in_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
+    counts = rows.groupBy("lang").count()
+    n = counts.count()
+    if not n:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    picked = rows.where((draw < F.try_element_at(chance, F.col("lang"))) & (F.octet_length("text") <= max_bytes))
-    sample = sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").limit(2 * per_language * len(counts)).collect())
-    sample = [x for x in sample if _LETTER.search(x[0])]
-    return fit([t for t, _ in sample], [g for _, g in sample])
+    wanted = min(per_language, max(2, SAMPLE_ROWS // n))
+    draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
+    drawn = rows.select("text", "lang", draw).join(broadcast_if_small(counts, n), "lang").where(F.col("draw") * F.col("count") < wanted)
+    sample = bounded_sample(drawn.select("draw", "text", "lang"), "lang", SAMPLE_BYTES // n)
+    texts = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())
+    texts = [x for x in texts if has_letter(x[0])]
+    return fit([t for t, _ in texts], [g for _, g in texts])
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """documents(doc_id, text) with _lang_pred, _lang_score and _lang_ambiguous; every column of documents is kept."""
-    names = documents.columns
+    """row (a row of documents(doc_id, text), whole), lang_pred, score and ambiguous."""
+    rows = documents.select(as_row(documents))
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(names.index("text")).to_pylist()
-            langs, scores = predict(model, texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < AMBIGUOUS)], names=[*names, "_lang_pred", "_lang_score", "_lang_ambiguous"])
+            langs, scores = predict(model, b.column(0).field("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < AMBIGUOUS)], names=["row", "lang_pred", "score", "ambiguous"])
 
-    return documents.mapInArrow(score_batches, with_fields(documents, _lang_pred="string", _lang_score="double", _lang_ambiguous="boolean"))
+    return rows.mapInArrow(score_batches, with_fields(rows, lang_pred="string", score="double", ambiguous="boolean"))

@@ -10,12 +10,14 @@ Labels are given for documents, not lines. Training starts with every line
 labelled as its document; then lines of bad documents that the field believes
 good are relabelled, and it is fitted again. It learns from a sample of at most
 about `per_label` documents of either label, whole texts of at most `max_bytes`,
-drawn by the hash of doc_id, never from the held-out quarter. Every document is
-scored, whole; labels, lang, source and doc_id are no inputs.
+of `SAMPLE_BYTES` a label, drawn by the hash of doc_id, never from the held-out
+quarter. Every document is scored, whole, however long; labels, lang, source and
+doc_id are no inputs.
 
 Edge cases: a null or empty text is scored as one empty line; without training
-texts of both labels every score is 0.5; rows that repeat a document get equal
-scores; an empty table gives an empty result; all columns are passed on.
+texts of both labels every score is 0.5; documents of equal texts, and rows that
+repeat one, get equal scores; an empty table gives an empty result; all columns
+are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import in_held_out, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, in_held_out, with_fields
 
 PER_LABEL = 1500
 MAX_BYTES = 65_536
+SAMPLE_BYTES = 12 << 20
 CHUNK = 1 << 20
 ROUNDS = 150
 KEEP_AT = 0.7
@@ -218,20 +221,21 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, m
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chance = F.when(F.col("quality") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
-    ids = marked.where(draw < chance).limit(3 * per_label)  # so few rows that they are broadcast
-    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("text", "quality").limit(3 * per_label)
-    sample = sorted((r["text"], r["quality"]) for r in rows.collect())
+    ids = marked.withColumn("draw", draw).where(F.col("draw") < chance).orderBy("draw", "doc_id").limit(3 * per_label)  # so few rows that they are broadcast
+    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("draw", "text", "quality")
+    few = bounded_sample(rows.orderBy("draw", "text").limit(3 * per_label), "quality", SAMPLE_BYTES)
+    sample = sorted((r["text"], r["quality"]) for r in few.select("text", "quality").collect())
     got = [sum(q == k for _, q in sample) for k in (0, 1)]
     return fit([t for t, _ in sample], [q for _, q in sample], tuple(counts[k] / max(1, got[k]) for k in (0, 1))) if all(got) else None
 
 
 def classify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """documents with _quality, the probability of label 1."""
-    names = documents.columns
+    """row (a row of documents(text), whole) and score, the probability of label 1."""
+    rows = documents.select(as_row(documents))
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = predict(model, b.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, "_quality"])
+            scores = predict(model, b.column(0).field("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
-    return documents.mapInArrow(score_batches, with_fields(documents, _quality="double"))
+    return rows.mapInArrow(score_batches, with_fields(rows, score="double"))

@@ -57,7 +57,7 @@ def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.classify(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= quality.KEEP_AT).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", in_held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= quality.KEEP_AT).cast("int").alias("predicted"))
 
 
 def op6_grouping_ga(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ def op8_elias_fano(spark: SparkSession, sf_dir: str, vocabulary: str | None = No
 def op9_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
-    return found.select("doc_id", in_held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"), F.col("_lang_ambiguous").alias("ambiguous"))
+    return found.select("row.doc_id", in_held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
