@@ -2,19 +2,26 @@
 
 Documents are cut into pieces of at most the capacity (only longer ones are
 cut), and pieces are packed whole. The pieces are dealt by hash into blocks of
-bounded size; for each block several islands, rows of their own, evolve
-packings: a crossover injects whole well-filled bins of one parent into the
-other, bins that hold the same pieces are dissolved, and what that displaces is
-exchanged for smaller pieces where it fills a bin better, and else placed again
-by best fit, longest first. Between epochs each island's elite
-migrates to the next island; last the best island's packing of each block is
-taken. The pieces of bins that are not well filled then meet those of other
-blocks in further rounds, which pack them in the same way.
+bounded size. Each block's first packing is best fit, longest first. A block
+whose packing has more bins than its total length asks for goes to several
+islands, rows of their own, which evolve packings: a crossover injects whole
+well-filled bins of one parent into the other, bins that hold the same pieces are
+dissolved, and what that displaces is exchanged for smaller pieces where it fills
+a bin better, and else placed again by best fit, longest first. Between epochs
+each island's elite migrates to the next island; last the best island's packing
+of each block is taken. A block that is at that bound already has nothing to
+gain, and is spared this.
+
+The pieces of bins that are not well filled then meet those of other blocks in
+further rounds, which pack them in the same way, until one block holds them all
+or a round fills too few bins to go on.
 
 Packing only sees lengths; texts are tokenized once, where they are read.
 
-Edge cases: a null or empty text is one piece, of the end id alone; rows that
-repeat a document are packed each; an empty table gives an empty result.
+Edge cases: a null or empty text is one piece, of the end id alone; very long
+texts are tokenized whole; rows that repeat a document are packed each; pieces of
+equal length are placed in the order of their numbers; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 6
 FULL = 0.999  # bins below this share of the capacity are packed again
-ROUNDS = 3
+GAIN = 0.05  # a round that closes less than this share of its pieces is the last
 
 
 def pieces(documents: DataFrame, vocabulary: str, spaces: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -181,6 +188,26 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[list[in
     return max(group, key=rank)
 
 
+def _numbered(bins: list[list[int]], n: int) -> np.ndarray:
+    number = np.empty(n, np.int32)
+    for k, b in enumerate(bins):
+        number[b] = k
+    return number
+
+
+def _first_packing(capacity: int):
+    """Best fit of a block's rows (block, uid, length); open tells whether fewer bins may do."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("uid")
+        sizes = table["length"].to_pylist()
+        bins = best_fit([], list(range(len(sizes))), sizes, capacity)
+        may_gain = len(bins) > -(-sum(sizes) // capacity)
+        return pa.table({"block": table["block"], "uid": table["uid"], "length": table["length"], "bin": pa.array(_numbered(bins, len(sizes))), "open": pa.array(np.full(len(sizes), may_gain))})
+
+    return run
+
+
 def _islands(capacity: int, epoch: int):
     """Evolve the island of a group of rows (block, island, uid, length, bins): bins holds the piece's bin in each elite."""
 
@@ -188,26 +215,22 @@ def _islands(capacity: int, epoch: int):
         table = table.sort_by("uid")
         sizes, elites = table["length"].to_pylist(), []
         rows = table["bins"].to_pylist()
-        for e in range(len(rows[0]) if rows and rows[0] else 0):
+        for e in range(len(rows[0])):
             found: dict[int, list[int]] = {}
             for i, r in enumerate(rows):
                 found.setdefault(r[e], []).append(i)
             elites.append(list(found.values()))
         block, island = table["block"][0].as_py(), table["island"][0].as_py()
         best = evolve(sizes, capacity, hash((block, island, epoch)), elites)
-        number = np.empty(len(sizes), np.int32)
-        for k, b in enumerate(best):
-            number[b] = k
         n = len(sizes)
-        return pa.table({"block": table["block"], "island": table["island"], "uid": table["uid"], "length": table["length"], "bin": pa.array(number), "bins_used": pa.array(np.full(n, len(best), np.int32))})
+        return pa.table({"block": table["block"], "island": table["island"], "uid": table["uid"], "length": table["length"], "bin": pa.array(_numbered(best, n)), "bins_used": pa.array(np.full(n, len(best), np.int32))})
 
     return run
 
 
-def _packed_blocks(items: DataFrame, capacity: int, islands: int, epochs: int, blocks: int) -> DataFrame:
-    """items(uid, length) with the block and bin that the best island of each block gives them."""
-    dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
-    rows = dealt.select("*", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island"), F.array().cast("array<int>").alias("bins"))
+def _evolved(first: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """first(block, uid, length, bin) with the bins that the best island of each block gives them."""
+    rows = first.select("uid", "length", "block", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("island"), F.array("bin").alias("bins"))
     out = "block long, island int, uid long, length long, bin int, bins_used int"
     for epoch in range(epochs):
         won = cut_lineage(rows.groupBy("block", "island").applyInArrow(_islands(capacity, epoch), out))
@@ -218,27 +241,41 @@ def _packed_blocks(items: DataFrame, capacity: int, islands: int, epochs: int, b
             rows = sent.groupBy("block", "uid", "length", F.col("x.to").alias("island")).agg(F.transform(F.array_sort(F.collect_list(F.struct("x.island", "x.bin"))), lambda e: e["bin"]).alias("bins"))
             rows = rows.select("uid", "length", "block", "island", "bins")
     best = won.groupBy("block").agg(F.min(F.struct("bins_used", "island"))["island"].alias("island"))
-    return won.join(best, ["block", "island"], "left_semi").select("uid", "length", "block", "bin")
+    return won.join(best, ["block", "island"], "left_semi").select("block", "uid", "length", "bin")
+
+
+def _packed_blocks(items: DataFrame, capacity: int, islands: int, epochs: int, blocks: int) -> DataFrame:
+    """items(uid, length) with the block and bin that they are given."""
+    dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
+    first = cut_lineage(dealt.groupBy("block").applyInArrow(_first_packing(capacity), "block long, uid long, length long, bin int, open boolean"))
+    packed = first.where("not open").select("block", "uid", "length", "bin")
+    if not first.where("open").take(1):
+        return packed
+    return cut_lineage(packed.unionByName(_evolved(first.where("open"), capacity, islands, epochs)))
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """items(uid, length) with sequence_id and offset: uid a long of its own for each, 1 <= length <= capacity."""
-    left, done = items.select("uid", "length"), []
-    for again in range(rounds):
-        n = left.count()
-        if not n:
-            break
+    left, done, base = items.select("uid", "length"), [], 0
+    n = left.count()
+    while n:
         blocks = -(-n // block)
         packed = _packed_blocks(left, capacity, islands, epochs, blocks)
-        packed = packed.withColumn("sequence_id", (F.col("block") * rounds + again) * (2 * block + block) + F.col("bin"))
-        last = blocks == 1 or again + 1 == rounds
-        packed = cut_lineage(packed)
-        if last:
+        # a block has about `block` pieces, and no more bins than pieces; ids go on from round to round
+        stride = 8 * block
+        packed = packed.withColumn("sequence_id", base + F.col("block") * stride + F.col("bin"))
+        base += blocks * stride
+        if blocks == 1:
             done.append(packed.select("uid", "length", "sequence_id"))
             break
-        filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") >= FULL * capacity)
-        done.append(cut_lineage(packed.join(filled, "sequence_id", "left_semi").select("uid", "length", "sequence_id")))
-        left = cut_lineage(packed.join(filled, "sequence_id", "left_anti").select("uid", "length"))
+        filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") < FULL * capacity).select("sequence_id")
+        marked = cut_lineage(packed.join(filled.withColumn("again", F.lit(True)), "sequence_id", "left").select("uid", "length", "sequence_id", F.coalesce("again", F.lit(False)).alias("again")))
+        again = marked.where("again").count()
+        if again > (1 - GAIN) * n:
+            done.append(marked.select("uid", "length", "sequence_id"))
+            break
+        done.append(marked.where("not again").select("uid", "length", "sequence_id"))
+        left, n = marked.where("again").select("uid", "length"), again
     if not done:
         return items.select("uid", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     every = done[0]
