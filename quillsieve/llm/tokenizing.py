@@ -7,14 +7,17 @@ tokenizer itself can never join what stands on both sides, so the ids are those
 of the whole text:
 
 - "dropped": tokenizers that drop white space and case. Cut at ASCII white space.
-- "kept": byte-level tokenizers whose words may start with a space. Cut where a
-  run of space, tab, line feed or carriage return begins; every token boundary
-  rule of such a tokenizer puts a boundary there. A text with other white space
-  is encoded in one piece.
-
-Both are also cut between letters and a punctuation mark behind them, other than
-an apostrophe. A chunk of letters alone is one word to the tokenizer, and goes
-straight to its merging model; others go through the whole tokenizer.
+- "kept": byte-level tokenizers whose words may start with a space. Cut before a
+  space, unless white space stands on both sides of it; in texts where white
+  space follows a space, where a run of space, tab, line feed or carriage return
+  begins. Every token boundary rule of such a tokenizer puts a boundary there. A
+  text with other white space is encoded in one piece.
+
+A chunk that is not known is cut once more, between letters and a punctuation
+mark behind them, other than an apostrophe. Letters alone are one word to the
+tokenizer, and go straight to its merging model; others go through the whole
+tokenizer. A text that holds the name of an added token, such as an end of text,
+goes through it in one piece too: the library gives that name its own id.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from array import array
 
 import numpy as np
 
-#: Chunks that a worker remembers, and the longest that it remembers.
+#: Chunks of either kind that a worker remembers, twice at most, and the longest that it remembers, in bytes.
 CACHED = 200_000
 LONGEST = 48
 
@@ -36,6 +39,7 @@ _KEPT = re.compile(rf" ?[{_LETTERS}]++{_END}|\n(?=[{_LETTERS}])|[ \t\n\r]*[^ \t\
 _DROPPED = re.compile(rf"[{_LOWER}]++{_END}|[^ \t\n\r\x0b\x0c]+")
 _WORD = {True: re.compile(rf" ?[{_LETTERS}]+"), False: re.compile(rf"[{_LOWER}]+")}
 _OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE_BEFORE_SPACE = (b"  ", b" \n", b" \t", b" \r")
 _open: dict = {}
 
 
@@ -54,7 +58,6 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if spaces not in ("kept", "dropped"):
             raise ValueError(f"spaces is {spaces!r}, not 'kept' or 'dropped'")
         self.kept, self.kind = spaces == "kept", np.dtype(kind)
@@ -63,17 +66,14 @@ class ChunkEncoder:
             raise NotImplementedError("ids are packed in the machine's order, which must be little-endian")
         self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
         self.word = _WORD[self.kept].fullmatch
-        self.known = _Known(self, {})
+        fold = str.encode if self.kept else lambda x: x.encode().lower()
+        self.added = [fold(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.coarse, self.fine = _Known(self.fresh_coarse), _Known(self.fresh)
 
     def whole(self, text: str) -> bytes:
         """The ids of a text that goes through the tokenizer in one piece."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _chunks(self, text: str) -> list | None:
-        if not self.kept:
-            return _DROPPED.findall(text.encode().lower().decode())  # A-Z alone
-        return None if _OTHER_SPACE.search(text) else _KEPT.findall(text)
-
     def _word(self, chunk: str) -> bytes:
         """The ids of a chunk of letters, by the tokenizer's merging model."""
         if chunk.isascii():
@@ -84,26 +84,45 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids."""
-        chunks = self._chunks(text)
-        if chunks is None:
+        raw = text.encode()
+        if not self.kept:
+            raw = raw.lower()  # A-Z alone
+        if any(name in raw for name in self.added) or self.kept and _OTHER_SPACE.search(text):
             return self.whole(text)
-        if len(self.known) > CACHED:
-            self.known = _Known(self, self.known)
-        return b"".join(map(self.known.__getitem__, chunks))
+        self.coarse, self.fine = self.coarse.bounded(), self.fine.bounded()
+        if not self.kept:
+            return b"".join(map(self.coarse.__getitem__, raw.split()))
+        if any(x in raw for x in _SPACE_BEFORE_SPACE):
+            return self._finely(text)
+        first, *spaced = raw.split(b" ")
+        return self._finely(first.decode()) + b"".join(map(self.coarse.__getitem__, spaced))
+
+    def _finely(self, text: str) -> bytes:
+        return b"".join(map(self.fine.__getitem__, (_KEPT if self.kept else _DROPPED).findall(text)))
+
+    def fresh_coarse(self, chunk: bytes) -> bytes:
+        """The ids of what stands between two spaces, with the space before it if such are kept."""
+        return self._finely(" " + chunk.decode() if self.kept else chunk.decode())
 
     def fresh(self, chunk: str) -> bytes:
-        """The ids of a chunk that is met for the first time."""
+        """The ids of a finer chunk that is met for the first time."""
         return self._word(chunk) if self.word(chunk) else self.whole(chunk)
 
 
 class _Known(dict):
     """Ids by chunk; a chunk that is not there is encoded. What was known before the last clearing is kept once more, so frequent chunks stay."""
 
-    def __init__(self, of: ChunkEncoder, older: dict) -> None:
+    def __init__(self, fresh, older: dict | None = None) -> None:
         super().__init__()
-        self.fresh, self.older = of.fresh, dict(older)
+        self.fresh, self.older = fresh, older or {}
+
+    def bounded(self) -> _Known:
+        """This, or an emptied one if it has grown too large."""
+        if len(self) <= CACHED:
+            return self
+        return _Known(self.fresh, dict(self))
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.fresh(chunk)
