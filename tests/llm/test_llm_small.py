@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -24,6 +25,8 @@ texts = st.text(alphabet=st.sampled_from("aB é\n\t .É!#-ſŁ\u0301×ß\x0b\x0c
 def test_elias_fano(values, data):
     values.sort()
     code, end = elias_fano.decode(b"xx" + elias_fano.encode(np.array(values, np.uint64)) + b"tail", 2)
+    a, b = sorted(data.draw(st.tuples(st.integers(0, 310), st.integers(0, 310))))
+    assert code.slice(a, b).tolist() == values[a:b]
     assert code.all().tolist() == values and end == 2 + len(elias_fano.encode(np.array(values, np.uint64)))
     for _ in range(min(20, len(values))):
         i = data.draw(st.integers(0, len(values) - 1))
@@ -52,7 +55,6 @@ def test_token_blocks(docs):
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
 def test_chunks_give_the_tokenizers_ids(name, spaces):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     of = ChunkEncoder(public_tokenizers.path(name), spaces)
 
     @settings(max_examples=400, deadline=None)
@@ -259,6 +261,60 @@ def test_a_text_that_one_page_has_is_kept():
     assert [html.extract(p, wrapper) for p in pages] == [f"Story {k} here" + " Only here A quote" * (k == 4) for k in range(8)]
 
 
+def test_names_of_states_and_words_in_values_strike_nothing_out():
+    inside = '<p class="overflow-hidden">a</p><p title="the hidden truth">b</p><p data-role="ad">foo<img src=x>bar</p>'
+    for body in (f"<article>{inside}</article>", f'<div class="layout has-sidebar">{inside}</div>', f'<main class="with-comments is-open">{inside}</main>'):
+        text = f"<body>{body}<p hidden>not shown</p></body>"
+        assert html.extract(text) == "a b foobar" == html.extract(text, html.infer([text] * 3))
+
+
+NO_ARTICLE = """<body class="home"><div class="zx1"><p>Site of things</p><p>All you need</p></div><div class="q7"><a href=/a>Home {k}</a> <a href=/b>About</a></div>
+<div class="ads banner-wrap"><h1>Title {k}</h1><p>The story number {k} goes on &amp; on, at length.</p>{more}</div>
+<div class="content"><p>Terms apply. Contact us.</p></div></body>"""
+
+
+def no_article(k: int) -> tuple[str, str]:
+    more = "".join(f"<p>Part {i} of {k * 7} has words.</p>" for i in range(k % 4))
+    text = " ".join([f"Title {k} The story number {k} goes on & on, at length.", *(f"Part {i} of {k * 7} has words." for i in range(k % 4))])
+    return NO_ARTICLE.format(k=k, more=more), text
+
+
+def test_the_wrapper_finds_what_names_mislead_about():
+    """The story is in an element named as an advert, what all pages share in one named content; one page alone can't tell."""
+    wrapper = html.infer([no_article(k)[0] for k in range(10)])
+    alone = 0
+    for k in range(20):
+        text, want = no_article(k)
+        assert html.extract(text, wrapper) == want
+        alone += html.extract(text) == want
+    assert not alone
+
+
+def test_partial_wrappers_merge(monkeypatch):
+    pages = [no_article(k)[0] for k in range(12)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["h"] * 12), pa.array(pages)], names=["host", "html"])
+    parts = [x for k in range(0, 12, 5) for x in html._partials(iter([rows.slice(k, 5)]))]
+    wrapper, seen = html._merge(pa.Table.from_batches(parts))
+    compiled = html.compile_wrapper(wrapper, len(seen))
+    assert len(seen) == 3 and all(html.extract(*[no_article(k)[0], compiled]) == no_article(k)[1] for k in range(12))
+    monkeypatch.setattr(html, "HOSTS", 2)
+    several = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array(pages[:3])], names=["host", "html"])
+    assert sorted(h for x in html._partials(iter([several])) for h in x.column(0).to_pylist()) == ["a", "b", "c"]
+
+
+def test_a_repeated_page_shares_nothing_with_itself():
+    text = no_article(3)[0]
+    assert "The story number 3" in html.extract(text, html.infer([text] * 9))
+
+
+def test_wide_and_deep_elements_keep_their_texts():
+    wide = "<body>" + "".join(f"<{('p', 'h2', 'ul', 'table')[(k * k) % 4]} class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}>x{k}" for k in range(3000)) + "</body>"
+    deep = "<div>" * 3000 + "<p>far</p><div class=ad>buy</div>" + "</div>" * 3000 + "<p>near</p>"
+    wrapper = html.infer([wide, deep, wide + "<p>y</p>"])
+    assert html.extract(wide, wrapper) == " ".join(f"x{k}" for k in range(3000))
+    assert html.extract(deep, wrapper) == "far near"
+
+
 @pytest.mark.parametrize("bad", ["", None, "<", "<p", "<a href='x", "</p></p>text", "<div>" * 5000 + "deep", "<!-- x", "<script>x", "&amp;&#x41;&nope;", "<p>a<table><tr><td>b<td>c</table>"])
 def test_broken_pages(bad):
     for wrapper in (None, html.infer(["<p>x</p>"])):
@@ -270,20 +326,15 @@ keys = st.lists(st.sampled_from("abcd"), max_size=12)
 
 
 @settings(deadline=None)
-@given(keys, keys, st.booleans())
-def test_matches(x, y, few):
-    cells, html.CELLS = html.CELLS, -1 if few else html.CELLS
-    try:
-        found = html.matches(x, y)
-    finally:
-        html.CELLS = cells
+@given(keys, keys)
+def test_matches(x, y):
+    found = html.matches(x, y)
     assert all(x[i] == y[j] for i, j in found) and all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:], strict=False))
-    if not few:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
-        assert len(found) == best[-1][-1]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(found) == best[-1][-1]
 
 
 def test_large_samples_are_aligned_in_time():
