@@ -344,7 +344,11 @@ def brute_near_copies(texts: dict) -> dict:
     return {d: find(d) for d in texts}
 
 
-def test_the_pipeline_finds_near_copies_of_five_words(spark, docs, empty):
+@pytest.mark.parametrize("small", [False, True])
+def test_the_pipeline_finds_near_copies_of_five_words(spark, docs, empty, monkeypatch, small):
+    if small:  # every key and cluster is compared in several blocks
+        monkeypatch.setattr(near_copies, "BLOCK", 3)
+        monkeypatch.setattr(near_copies, "SETS", 3)
     whole = frame(spark, "/root/testdata/sf0.01", "documents")
     texts = dict(zip(whole.doc_id, whole.text, strict=True))
     base = [f"w{i}" for i in range(200)]
@@ -360,6 +364,23 @@ def test_the_pipeline_finds_near_copies_of_five_words(spark, docs, empty):
     assert near_copies.near_copies(docs).count() == len(ROWS) and near_copies.near_copies(empty).count() == 0
 
 
+def test_forests_of_near_sets_span_all_links():
+    rng = np.random.default_rng(1)
+    texts = [" ".join("x" + str(rng.integers(10**6)) if i in edits else f"w{i}" for i in range(60)) for edits in (rng.integers(0, 60, rng.integers(0, 5)).tolist() for _ in range(120))]
+    sets = [near_copies.shingles(t) for t in texts]
+    want = brute_near_copies(dict(enumerate(texts)))
+    links = near_copies.forest(np.arange(120), 120, near_copies.near_sets(sets))
+    halves = near_copies.forest(np.arange(60), 60, near_copies.near_sets(sets[:60])) + [(i + 60, j + 60) for i, j in near_copies.forest(np.arange(60), 60, near_copies.near_sets(sets[60:]))]
+    halves += near_copies.forest(np.arange(120), 60, near_copies.near_sets(sets))
+    for found in (links, halves):
+        least = list(range(120))
+        for _ in range(120):
+            for i, j in found:
+                least[i] = least[j] = min(least[i], least[j])
+        assert dict(enumerate(least)) == want
+    assert len(links) == 120 - len(set(want.values()))
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)]
