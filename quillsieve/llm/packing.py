@@ -57,14 +57,14 @@ def pieces(documents: DataFrame, vocabulary: str, spaces: str, end_id: int, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary, spaces)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
+            for k in range(0, b.num_rows, 2048):
                 rows = []
-                part = b.slice(k, 512)
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = of.encode(t) + end
+                part = b.slice(k, 2048)
+                for d, own in zip(part.column(0).to_pylist(), of.encode_all(part.column(1)), strict=True):
+                    ids = own + end
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        rows.append((d, i, at // 4, len(own) // 4, zlib.crc32(own), own))
+                        piece = ids[at : at + 4 * capacity]
+                        rows.append((d, i, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
                 columns = list(zip(*rows, strict=True))
                 arrays = [pa.array(columns[0], part.schema.field(0).type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:5]]]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -8,16 +8,16 @@ of the whole text:
 
 - "dropped": tokenizers that drop white space and case. Cut at ASCII white space.
 - "kept": byte-level tokenizers whose words may start with a space. Cut before a
-  space, unless white space stands on both sides of it; in texts where white
-  space follows a space, where a run of space, tab, line feed or carriage return
-  begins. Every token boundary rule of such a tokenizer puts a boundary there. A
-  text with other white space is encoded in one piece.
-
-A chunk that is not known is cut once more, between letters and a punctuation
-mark behind them, other than an apostrophe. Letters alone are one word to the
-tokenizer, and go straight to its merging model; others go through the whole
-tokenizer. A text that holds the name of an added token, such as an end of text,
-goes through it in one piece too: the library gives that name its own id.
+  space that no white space follows, and around a line feed before a letter.
+  Every token boundary rule of such a tokenizer puts a boundary there.
+
+Both are also cut between letters and a punctuation mark behind them, other than
+an apostrophe. Arrow cuts some hundred texts at once and numbers their distinct
+chunks; only these are looked up one by one, and NumPy puts the ids in place.
+Letters alone are one word to the tokenizer, and go straight to its merging
+model; other chunks go through the whole tokenizer. So do whole texts with other
+white space, white space behind a space, or the name of an added token, such as
+an end of text, to which the library gives an id of its own.
 """
 
 from __future__ import annotations
@@ -28,18 +28,22 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Texts that are cut at once, and their bytes (a longer one is cut alone).
+TEXTS, BYTES = 2048, 8 << 20
 #: Chunks of either kind that a worker remembers, twice at most, and the longest that it remembers, in bytes.
 CACHED = 200_000
 LONGEST = 48
 
-# Letters that no tokenizer here joins with what _END lets stand behind them.
-_LETTERS, _LOWER, _END = "a-zA-ZÀ-ÖØ-öø-ɏ", "a-zß-öø-ÿ", r"(?![^\s.,!#$%&*|])"
-_KEPT = re.compile(rf" ?[{_LETTERS}]++{_END}|\n(?=[{_LETTERS}])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_DROPPED = re.compile(rf"[{_LOWER}]++{_END}|[^ \t\n\r\x0b\x0c]+")
-_WORD = {True: re.compile(rf" ?[{_LETTERS}]+"), False: re.compile(rf"[{_LOWER}]+")}
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE_BEFORE_SPACE = (b"  ", b" \n", b" \t", b" \r")
+# Letters that no tokenizer here joins with one of _MARKS behind them; in the syntax of Python and of Arrow.
+_LETTERS, _LETTERS_RE2 = "a-zA-ZÀ-ÖØ-öø-ɏ", r"a-zA-Z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_MARKS = ".,!#$%&*|"
+_WORD = {True: re.compile(rf" ?[{_LETTERS}]+"), False: re.compile("[a-zß-öø-ÿ]+")}  # where case is dropped, of lower case
+# What sends a text through the tokenizer in one piece: white space that is not ASCII or seldom met, and white space behind a space.
+_UNCUT = r" [ \n\t\r]|[\x{0}\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CUT = "\0"  # between chunks of a text that holds none
 _open: dict = {}
 
 
@@ -66,9 +70,9 @@ class ChunkEncoder:
             raise NotImplementedError("ids are packed in the machine's order, which must be little-endian")
         self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
         self.word = _WORD[self.kept].fullmatch
-        fold = str.encode if self.kept else lambda x: x.encode().lower()
-        self.added = [fold(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.coarse, self.fine = _Known(self.fresh_coarse), _Known(self.fresh)
+        names = pa.array([t.content for t in self.tokenizer.get_added_tokens_decoder().values()], pa.string())
+        self.added = (names if self.kept else pc.ascii_lower(names)).to_pylist()
+        self.known = _Known(self.fresh)
 
     def whole(self, text: str) -> bytes:
         """The ids of a text that goes through the tokenizer in one piece."""
@@ -84,31 +88,61 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids."""
-        raw = text.encode()
-        if not self.kept:
-            raw = raw.lower()  # A-Z alone
-        if any(name in raw for name in self.added) or self.kept and _OTHER_SPACE.search(text):
-            return self.whole(text)
-        self.coarse, self.fine = self.coarse.bounded(), self.fine.bounded()
-        if not self.kept:
-            return b"".join(map(self.coarse.__getitem__, raw.split()))
-        if any(x in raw for x in _SPACE_BEFORE_SPACE):
-            return self._finely(text)
-        first, *spaced = raw.split(b" ")
-        return self._finely(first.decode()) + b"".join(map(self.coarse.__getitem__, spaced))
-
-    def _finely(self, text: str) -> bytes:
-        return b"".join(map(self.fine.__getitem__, (_KEPT if self.kept else _DROPPED).findall(text)))
-
-    def fresh_coarse(self, chunk: bytes) -> bytes:
-        """The ids of what stands between two spaces, with the space before it if such are kept."""
-        return self._finely(" " + chunk.decode() if self.kept else chunk.decode())
-
-    def fresh(self, chunk: str) -> bytes:
-        """The ids of a finer chunk that is met for the first time."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of a string array without nulls."""
+        out, first, size = [], 0, 0
+        for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+            if k > first and (k - first == TEXTS or size + n > BYTES):
+                out += self._several(texts.slice(first, k - first))
+                first, size = k, 0
+            size += n
+        return out + self._several(texts.slice(first)) if first < len(texts) else out
+
+    def _several(self, texts: pa.Array) -> list[bytes]:
+        own = texts if self.kept else pc.ascii_lower(texts)
+        alone = pc.match_substring_regex(own, _UNCUT if self.kept else r"\x{0}")
+        for name in self.added:
+            alone = pc.or_(alone, pc.match_substring(own, name))
+        if pc.any(alone).as_py():
+            own = pc.if_else(alone, "", own)
+        own = pc.replace_substring_regex(own, rf"([{_LETTERS_RE2}])([{_MARKS}])", rf"\1{CUT}\2")
+        if self.kept:
+            own = pc.replace_substring(own, " ", f"{CUT} ")
+            own = pc.replace_substring_regex(own, rf"\n([{_LETTERS_RE2}])", rf"{CUT}\n{CUT}\1".replace("\\n", "\n"))
+        else:
+            own = pc.replace_substring_regex(own, r"[ \t\n\r\x{b}\x{c}]+", CUT)
+        pieces = pc.split_pattern(own, CUT)
+        at, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        self.known = self.known.bounded()
+        found = list(map(self.known.__getitem__, _as_bytes(coded.dictionary)))
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        pool, begin = np.frombuffer(b"".join(found), self.kind), np.cumsum(length) - length
+        each = length[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = pool[np.repeat(begin[index] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[at] * self.kind.itemsize).tolist()
+        out = [flat[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.whole(texts[k].as_py())
+        return out
+
+    def fresh(self, raw: bytes) -> bytes:
+        """The ids of a chunk that is met for the first time."""
+        chunk = raw.decode()
         return self._word(chunk) if self.word(chunk) else self.whole(chunk)
 
 
+def _as_bytes(texts: pa.Array) -> list[bytes]:
+    """The items of a string array, without a string object for each."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, 4 * texts.offset).tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 class _Known(dict):
     """Ids by chunk; a chunk that is not there is encoded. What was known before the last clearing is kept once more, so frequent chunks stay."""
 
