@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from quillsieve.errors import ParamError
 from quillsieve.functions import columns, kernels, sizing
-from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloomFilter, BloomFilter, _BinaryFuse, _Mutable
+from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloomFilter, BloomFilter, _BinaryFuse, _Mutable, several_from_hashes
 
 #: Payloads above this are not collected or broadcast.
 DENSE_BYTES = 64 << 20
 SEGMENT = 1 << 16  # words of a filter that one row carries to the driver
-#: Keys above this are not peeled in one task; see sharded_fuse.
-FUSE_KEYS = 4_000_000
+#: Keys above this are not peeled in one task (about 640 bytes each while it runs); see sharded_fuse.
+FUSE_KEYS = 1_000_000
 
 
 def keys_of(df: DataFrame, key: str | Column) -> DataFrame:
@@ -39,6 +39,20 @@ def keys_of(df: DataFrame, key: str | Column) -> DataFrame:
     return keys.where("key is not null")
 
 
+def fits(kind: str, n: int, epsilon: float) -> bool:
+    """Whether a filter of n keys may be held as a value: by its bytes, or, of a fuse filter, by what its peeling takes."""
+    if kind in ("fuse8", "fuse16"):
+        return n <= FUSE_KEYS
+    n = max(1, n)
+    bits = sizing.bloom_size(n, epsilon).m if kind == "bloom" else sizing.blocked_count(sizing.blocked_bits_per_key(epsilon), n) * sizing.BLOCK_BITS
+    return bits <= 8 * DENSE_BYTES
+
+
+def addressable(kind: str, n: int, epsilon: float) -> bool:
+    """Whether a filter of n keys can be addressed at all: its parameters are unsigned 32-bit numbers."""
+    return max(n, sizing.bloom_size(max(1, n), epsilon).m if kind == "bloom" else 0) < 1 << 32
+
+
 def template(like: _Mutable) -> _Mutable:
     """The filter's parameters without its payload, to send to tasks."""
     out = copy.copy(like)
@@ -125,32 +139,50 @@ def key_hashes(keys: DataFrame) -> DataFrame:
     return keys.select(h.alias("h")).groupBy("h.w0", "h.w1").agg(F.min("h.w2").alias("shard"))
 
 
-def _peeled(kind: type[_BinaryFuse]):
+def _peeled(*kinds: type[_BinaryFuse]):
     def run(table: pa.Table) -> pa.Table:
         w0, w1 = (table[c].to_numpy().astype(np.uint64) for c in ("w0", "w1"))
-        frame = kind.from_hashes(w0 | w1 << np.uint64(32)).to_bytes()
-        return pa.table({"shard": pa.array([table["part"][0].as_py()], pa.int64()), "frame": pa.array([frame], pa.binary())})
+        made = [x.to_bytes() for x in several_from_hashes(kinds, w0 | w1 << np.uint64(32))]
+        return pa.table({"shard": pa.array([table["part"][0].as_py()] * len(made), pa.int64()), "frame": pa.array(made, pa.binary())})
 
     return run
 
 
-def fuse(df: DataFrame, key: str | Column, kind: type[_BinaryFuse] = BinaryFuse8) -> _BinaryFuse:
-    """A binary fuse filter of a column's distinct keys. The peeling order makes the bytes, so it runs in one task, up to FUSE_KEYS keys."""
+def fuses(df: DataFrame, key: str | Column, *kinds: type[_BinaryFuse]) -> list[_BinaryFuse]:
+    """Binary fuse filters of several widths of a column's distinct keys. The peeling order makes the bytes, so it runs in one task, once for all widths, up to FUSE_KEYS keys."""
     hashes = key_hashes(keys_of(df, key)).select("w0", "w1", F.lit(0).alias("part"))
     n = hashes.count()
     if n > FUSE_KEYS:
         raise ParamError(f"{n} keys are peeled in shards, by sharded_fuse; the bound for one filter is {FUSE_KEYS}")
     if not n:
-        return kind.from_hashes(np.zeros(0, np.uint64))
-    return kind.from_bytes(hashes.groupBy("part").applyInArrow(_peeled(kind), "shard long, frame binary").first()["frame"])
+        return several_from_hashes(kinds, np.zeros(0, np.uint64))
+    rows = hashes.groupBy("part").applyInArrow(_peeled(*kinds), "shard long, frame binary").collect()  # one a width
+    return [next(kind.from_bytes(bytes(r["frame"])) for r in rows if r["frame"][5] == kind.kind) for kind in kinds]
+
+
+def fuse(df: DataFrame, key: str | Column, kind: type[_BinaryFuse] = BinaryFuse8) -> _BinaryFuse:
+    """One such filter."""
+    return fuses(df, key, kind)[0]
+
+
+def shards_for(keys: int) -> int:
+    """Shards in which so many distinct keys are peeled well within FUSE_KEYS each, as they are dealt by hash."""
+    return max(1, -(-2 * keys // FUSE_KEYS))
 
 
 def sharded_fuse(df: DataFrame, key: str | Column, shards: int, kind: type[_BinaryFuse] = BinaryFuse16) -> DataFrame:
-    """(shard, frame): a filter for each shard of the keys, peeled side by side. A key's shard is word 2 of its hash modulo `shards`."""
+    """(shard, frame): a filter for each shard of the keys, peeled side by side. A key's shard is word 2 of its hash modulo `shards`.
+
+    A shard of more than FUSE_KEYS keys is refused; shards_for tells how many shards do.
+    """
     hashes = key_hashes(keys_of(df, key)).select("w0", "w1", F.pmod("shard", F.lit(shards)).alias("part"))
+    largest = hashes.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    if largest > FUSE_KEYS:
+        raise ParamError(f"shards: of {shards} one has {largest} keys; the bound is {FUSE_KEYS}, and {shards_for(largest * shards)} shards do")
     return hashes.groupBy("part").applyInArrow(_peeled(kind), "shard long, frame binary")
 
 
+FUSES = {"fuse8": BinaryFuse8, "fuse16": BinaryFuse16}
 BUILDERS = {"bloom": bloom, "blocked": blocked, "fuse8": lambda df, key, _=None: fuse(df, key, BinaryFuse8), "fuse16": lambda df, key, _=None: fuse(df, key, BinaryFuse16)}
 
 

@@ -307,18 +307,19 @@ class _BinaryFuse(Filter):
     @classmethod
     def from_hashes(cls, hashes: np.ndarray, attempts: int = ATTEMPTS) -> _BinaryFuse:
         """Of 64-bit key hashes; equal ones count once."""
-        hashes = np.unique(hashes)
-        geometry, kind = sizing.fuse_geometry(len(hashes)), f"<u{cls.width // 8}"
-        if not len(hashes):
-            return cls(geometry, 0, 0, np.zeros(0, kind))
-        seed, mixed, own = peel(hashes, geometry, attempts)
+        return several_from_hashes((cls,), hashes, attempts)[0]
+
+    @classmethod
+    def _filled(cls, n: int, geometry: sizing.FuseGeometry, peeled: tuple[int, np.ndarray, np.ndarray]) -> _BinaryFuse:
+        """The filter of n keys that were peeled: slots are set in the opposite order."""
+        seed, mixed, own = peeled
         fingerprint = kernels.fuse_fingerprint(mixed, cls.width).tolist()
         places = kernels.fuse_positions(mixed, geometry.segment, geometry.segment_count_length).astype(np.int64).tolist()
         slots = [0] * geometry.array_length
         for row in range(len(own) - 1, -1, -1):
             a, b, c = places[row]
             slots[own[row]] = fingerprint[row] ^ slots[a] ^ slots[b] ^ slots[c]
-        return cls(geometry, seed, len(hashes), np.array(slots, kind))
+        return cls(geometry, seed, n, np.array(slots, f"<u{cls.width // 8}"))
 
     def _has(self, words: np.ndarray) -> np.ndarray:
         if not self.size:
@@ -354,6 +355,16 @@ class BinaryFuse16(_BinaryFuse):
     kind, width = 4, 16
 
 
+def several_from_hashes(kinds: tuple[type[_BinaryFuse], ...], hashes: np.ndarray, attempts: int = ATTEMPTS) -> list[_BinaryFuse]:
+    """Fuse filters of several widths of the same 64-bit key hashes, which are peeled once; equal ones count once."""
+    hashes = np.unique(hashes)
+    geometry = sizing.fuse_geometry(len(hashes))
+    if not len(hashes):
+        return [kind(geometry, 0, 0, np.zeros(0, f"<u{kind.width // 8}")) for kind in kinds]
+    peeled = peel(hashes, geometry, attempts)
+    return [kind._filled(len(hashes), geometry, peeled) for kind in kinds]
+
+
 BY_KIND = {c.kind: c for c in (BloomFilter, BlockedBloomFilter, BinaryFuse8, BinaryFuse16)}
 
 

@@ -36,7 +36,8 @@ def sizing_report(requirements: DataFrame) -> DataFrame:
     bad_input says which input is out of range: the capacity must be a whole
     number from 1 to 1e12, epsilon strictly between 0 and 1. blocked is null
     where 128 bits a key do not meet epsilon. The warning is given where a
-    blocked filter takes half as much again as a classic one, or more.
+    blocked filter takes half as much again as a classic one, or more; message
+    says any of these in words.
     """
     rates = [sizing.blocked_rate(b) for b in range(1, sizing.MOST_BLOCKED_BITS + 1)]
     n, eps = F.col("capacity").cast("double"), F.col("epsilon").cast("double")
@@ -51,6 +52,12 @@ def sizing_report(requirements: DataFrame) -> DataFrame:
     out = base.withColumn("bloom_m", m.cast("long")).withColumn("bloom_k", k.cast("int")).withColumn("blocked_bits_per_key", blocked).withColumn("fuse_slots", slots)
     bloom_bits = F.col("bloom_m") / F.col("_n")
     warn = F.coalesce(F.col("blocked_bits_per_key") >= PENALTY * bloom_bits, F.lit(False))
+    message = (
+        F.when(bad == "capacity", f"The capacity must be a whole number from 1 to {MOST_CAPACITY}.")
+        .when(bad == "epsilon", "The rate must lie strictly between 0 and 1.")
+        .when(F.col("blocked_bits_per_key").isNull(), f"No blocked filter of up to {sizing.MOST_BLOCKED_BITS} bits a key is that exact.")
+        .when(warn, F.concat(F.lit("A blocked filter takes "), F.col("blocked_bits_per_key").cast("string"), F.lit(" bits a key for this rate, a classic one "), F.round(bloom_bits).cast("long").cast("string"), F.lit(".")))
+    )
     return out.select(
         "capacity",
         "epsilon",
@@ -65,6 +72,7 @@ def sizing_report(requirements: DataFrame) -> DataFrame:
         (F.col("fuse_slots") * 16 / F.col("_n")).alias("fuse16_bits_per_key"),
         (F.col("fuse_slots") * 2).alias("fuse16_bytes"),
         warn.alias("blocked_is_dear"),
+        message.alias("message"),
     )
 
 
@@ -87,15 +95,17 @@ def explain_error(error: Exception) -> str:
 
 
 def _filters(df: DataFrame, epsilon: float, kinds: tuple[str, ...] = KINDS) -> dict[str, Filter]:
-    return {kind: build.build(df, "key", kind, epsilon) for kind in kinds}
+    wide = [kind for kind in kinds if kind in build.FUSES]
+    held = dict(zip(wide, build.fuses(df, "key", *[build.FUSES[kind] for kind in wide]), strict=True)) if wide else {}
+    return {kind: held[kind] if kind in held else build.build(df, "key", kind, epsilon) for kind in kinds}
 
 
-def accuracy_report(spark: SparkSession, sizes: tuple[int, ...], epsilon: float = 0.01, probes: int = 1_000_000) -> DataFrame:
+def accuracy_report(spark: SparkSession, sizes: tuple[int, ...], epsilon: float = 0.01, probes: int = 1_000_000, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """For each size and structure: target, measured rate over keys that are not held, and bits a key."""
     targets = {"bloom": epsilon, "blocked": epsilon, "fuse8": 2.0**-8, "fuse16": 2.0**-16}
     parts = []
     for n in sizes:
-        held = _filters(keys.numbered(spark, n, "0:"), epsilon)
+        held = _filters(keys.numbered(spark, n, "0:"), epsilon, kinds)
         hits = keys.numbered(spark, probes, "1:").select(*[probe.might_contain(spark, f, F.col("key")).alias(kind) for kind, f in held.items()])
         rates = hits.agg(*[F.avg(F.col(kind).cast("double")).alias(kind) for kind in held])
         row = lambda kind, f, n=n: F.struct(F.lit(kind).alias("structure"), F.lit(n).cast("long").alias("n"), F.lit(targets[kind]).alias("target_rate"), F.col(kind).alias("measured_rate"), F.lit(float(f.bits_per_key)).alias("bits_per_key"))
@@ -103,13 +113,16 @@ def accuracy_report(spark: SparkSession, sizes: tuple[int, ...], epsilon: float
     return reduce(DataFrame.unionByName, parts)
 
 
-def comparison_report(spark: SparkSession, n: int, epsilon: float = 0.01, probes: int = 100_000) -> DataFrame:
-    """The classic filter beside the one that Spark's own aggregation builds (murmur3 of longs), at the same size and rate."""
-    own = accuracy_report(spark, (n,), epsilon, probes).where("structure = 'bloom'").select("structure", "n", "measured_rate", "bits_per_key")
-    built = spark.range(n)._jdf.stat().bloomFilter("id", n, epsilon)
-    wrong = sum(built.mightContainLong(n + i) for i in range(min(probes, 20_000)))
-    other = spark.createDataFrame([("spark", n, wrong / min(probes, 20_000), built.bitSize() / n)], "structure string, n long, measured_rate double, bits_per_key double")
-    return own.unionByName(other)
+def comparison_report(spark: SparkSession, sizes: tuple[int, ...], epsilon: float = 0.01, probes: int = 100_000) -> DataFrame:
+    """At each size and the same rate: all four structures beside the filter that Spark's own aggregation builds (of longs), with measured rates and bits a key."""
+    parts = []
+    for n in sizes:
+        parts.append(accuracy_report(spark, (n,), epsilon, probes).select("structure", "n", "measured_rate", "bits_per_key"))
+        built = spark.range(n)._jdf.stat().bloomFilter("id", n, epsilon)
+        asked = min(probes, 20_000)
+        wrong = sum(built.mightContainLong(n + i) for i in range(asked))  # a bounded number of calls
+        parts.append(spark.createDataFrame([("spark", n, wrong / asked, built.bitSize() / n)], "structure string, n long, measured_rate double, bits_per_key double"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 class Playground:

@@ -1,12 +1,13 @@
 """DuckDB SQL for the hash and what is derived from it: an implementation of its own, for comparison.
 
-For keys of at most 15 ASCII characters, whose hash has no block loop. Each
-step is one common table expression that adds columns.
+For keys of any length. Each step is one common table expression that adds
+columns; a key's blocks of 16 bytes are folded by one list_reduce, whose state
+is turned by one word a step, so that every step treats its first word.
 """
 
 from __future__ import annotations
 
-from quillsieve.functions.kernels import MULTIPLY, ROTATE_KEY, SALT
+from quillsieve.functions.kernels import ADD, MULTIPLY, ROTATE_HASH, ROTATE_KEY, SALT
 
 LOW = "4294967295::UBIGINT"
 
@@ -35,16 +36,38 @@ class Steps:
 
 
 def _mul(x: str, c: int) -> str:
-    return f"(({x}) * {c}::UBIGINT & {LOW})"
+    return f"((({x}) * {c}::UBIGINT) & {LOW})"
+
+
+def _rotl(x: str, by: int) -> str:
+    return f"(((({x}) << {by}) | (({x}) >> {32 - by})) & {LOW})"
+
+
+def _word(text: str, at: str) -> str:
+    """The little-endian 32-bit word that begins at character `at` of hex digits."""
+    return f"('0x' || substr({text}, {at} + 6, 2) || substr({text}, {at} + 4, 2) || substr({text}, {at} + 2, 2) || substr({text}, {at}, 2))::UBIGINT"
+
+
+def _folded(blocks: str, seed: int) -> str:
+    """The four words after a list of blocks, each of 32 hex digits, as a list."""
+    lanes = []
+    for i in range(4):
+        turned = f"list_transform(list_transform({blocks}, lambda b: {_mul(_word('b', str(8 * i + 1)), MULTIPLY[i])}), lambda k: {_mul(_rotl('k', ROTATE_KEY[i]), MULTIPLY[(i + 1) % 4])})"
+        lanes.append(f"list_transform({turned}, lambda k: [k, {ROTATE_HASH[i]}, {ADD[i]}, 0]::UBIGINT[])")
+    steps = f"flatten(list_transform(list_zip({', '.join(lanes)}), lambda z: [z[1], z[2], z[3], z[4]]))"
+    first = f"[{', '.join([f'{seed}'] * 4)}]::UBIGINT[]"
+    mixed = "xor(s[1], x[1])"
+    new = f"((((({mixed} << x[2]) | ({mixed} >> (32::UBIGINT - x[2]))) & {LOW}) + s[2]) * 5::UBIGINT + x[3]) & {LOW}"
+    return f"list_reduce(list_prepend({first}, {steps}), lambda s, x: [s[2], s[3], s[4], {new}])"
 
 
 def hashed(source: str, seed: int = 0) -> Steps:
     """Steps from a SELECT with a text column `key`, to w0..w3 as UBIGINT."""
     s = Steps(source)
-    byte = lambda i: f"(CASE WHEN length(key) > {i} THEN ascii(substr(key, {i + 1}, 1)) ELSE 0 END)::UBIGINT * {256 ** (i % 4)}::UBIGINT"
-    s.add(**{f"k{w}": _mul(" + ".join(byte(i) for i in range(4 * w, min(15, 4 * w + 4))), MULTIPLY[w]) for w in range(4)})
-    s.again(**{f"k{w}": f"((k{w} << {ROTATE_KEY[w]}) | (k{w} >> {32 - ROTATE_KEY[w]})) & {LOW}" for w in range(4)})
-    s.add(**{f"w{w}": f"xor(xor({seed}::UBIGINT, {_mul(f'k{w}', MULTIPLY[(w + 1) % 4])}), length(key)::UBIGINT)" for w in range(4)})
+    s.add(h="hex(encode(key))", n="octet_length(encode(key))::UBIGINT")
+    s.add(tail="rpad(substr(h, (n // 16 * 32)::BIGINT + 1), 32, '0')", f=f"CASE WHEN n < 16 THEN [{', '.join([f'{seed}'] * 4)}]::UBIGINT[] ELSE {_folded('regexp_extract_all(h, chr(46) || chr(123) || chr(51) || chr(50) || chr(125))', seed)} END")
+    s.add(**{f"k{w}": _mul(_word("tail", str(8 * w + 1)), MULTIPLY[w]) for w in range(4)})
+    s.add(**{f"w{w}": f"xor(xor(f[{w + 1}], {_mul(_rotl(f'k{w}', ROTATE_KEY[w]), MULTIPLY[(w + 1) % 4])}), n & {LOW})" for w in range(4)})
 
     def cross() -> None:
         s.again(w0=f"(w0 + w1 + w2 + w3) & {LOW}")

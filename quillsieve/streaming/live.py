@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -27,14 +28,17 @@ class LiveFilter:
         self.spark, self.path, self.like = spark, path.rstrip("/"), build.template(like)
         self.size = like
 
-    def _latest(self) -> DataFrame | None:
+    def _log(self) -> DataFrame | None:
         try:
-            log = self.spark.read.parquet(f"{self.path}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return self.spark.read.parquet(f"{self.path}/log")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
-        return log.orderBy(F.desc("batch"), F.desc("at")).limit(1)
+
+    def _latest(self) -> DataFrame | None:
+        log = self._log()
+        return None if log is None else log.orderBy(F.desc("batch"), F.desc("at")).limit(1)
 
     def words(self) -> DataFrame:
         """(word, mask) of all batches so far."""
@@ -47,8 +51,17 @@ class LiveFilter:
         name = f"{number}-{uuid.uuid4().hex}"
         fresh = build.words_of(build.keys_of(batch, key), self.like)
         build.united(self.words(), fresh).write.parquet(f"{self.path}/words/{name}")
+        before = self._names()
         entry = build_log(self.spark, number, name, saturation.stats(self.spark.read.parquet(f"{self.path}/words/{name}"), self.like))
         entry.write.mode("append").parquet(f"{self.path}/log")
+        for old in before[:-1]:  # the one that was newest stays, for readers that have begun with it
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/words/{old}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _names(self) -> list[str]:
+        """Stored states, the newest last."""
+        last = self._log()
+        return [] if last is None else [r["name"] for r in last.orderBy("batch", "at").select("name").collect()]  # a row a batch
 
     def value(self) -> _Mutable:
         """The filter so far, as a value."""
@@ -74,6 +87,32 @@ def new_rows(batch: DataFrame, live: LiveFilter, key: str) -> DataFrame:
     return batch.withColumn("seen", F.coalesce(probe.might_contain(batch.sparkSession, live.value(), F.col(key).cast("string")), F.lit(False)))
 
 
+def first_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """A stream's rows without those whose keys came before, as long ago as the watermark's delay at most: exact, with state that is dropped behind the watermark."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def first_ever(stream: DataFrame, live: LiveFilter, key: str, out: str, checkpoint: str) -> DataStreamWriter:
+    """A stream writer that appends the first row of every key to the table below `out`, however long ago the key came.
+
+    The live filter tells most keys of a batch to be new; only those that it may
+    have seen are looked up among the stored ones. A batch writes its own folder,
+    so one that is replayed replaces what it wrote.
+    """
+
+    def absorb(batch: DataFrame, number: int) -> None:
+        spark, fresh = batch.sparkSession, batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        marked = new_rows(fresh, live, key) if number else fresh.withColumn("seen", F.lit(False))
+        if number:
+            stored = spark.read.schema(batch.schema).parquet(*[f"{out}/batch={k}" for k in range(number)]).select(key)
+            known = marked.where("seen").join(stored, key, "left_anti")
+            marked = marked.where("not seen").unionByName(known)
+        marked.drop("seen").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        live.absorb(spark.read.schema(batch.schema).parquet(f"{out}/batch={number}"), number, key)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(absorb)
+
+
 def distinct_exactly(df: DataFrame, seen: DataFrame, key: str, epsilon: float = 0.01) -> DataFrame:
     """The distinct rows of df whose key is not in seen: the filter rules most out, an exact check decides the rest."""
     return probe.anti_join(df, seen, key, "bloom", epsilon).dropDuplicates([key])

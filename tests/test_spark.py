@@ -103,6 +103,51 @@ def test_joins_equal_plain_ones(spark):
         assert plain(probe.anti_join(left, right, "k", kind).toPandas()) == plain(left.join(right, "k", "left_anti").toPandas())
 
 
+@pytest.mark.parametrize("kind", ["bloom", "fuse8"])
+@pytest.mark.parametrize("tabled", [False, True])
+def test_joins_beyond_a_value(spark, monkeypatch, kind, tabled):
+    monkeypatch.setattr(build, "DENSE_BYTES", 1)
+    monkeypatch.setattr(build, "FUSE_KEYS", 10)
+    left = spark.createDataFrame([(i % 70 if i % 11 else None, i) for i in range(300)], "k long, _key long")
+    right = spark.createDataFrame([(i * 3,) for i in range(20)] + [(None,)], "k long")
+    assert plain(probe.semi_join(left, right, "k", kind, tabled=tabled).toPandas()) == plain(left.join(right, "k", "left_semi").toPandas())
+    assert plain(probe.anti_join(left, right, "k", kind, tabled=tabled).toPandas()) == plain(left.join(right, "k", "left_anti").toPandas())
+    found = probe.membership(left.select(F.col("k").cast("string").alias("key")), right, "k", kind)
+    assert found.count() == left.where("k is not null").count() and found.where("key % 3 = 0 and key < 60 and not found").count() == 0
+
+
+NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double", "decimal(10,2)", "decimal(10,1)", "decimal(38,0)", "string"]
+PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]] + [("date", "timestamp"), ("timestamp_ntz", "timestamp"), ("date", "string"), ("binary", "string")]
+
+
+def test_joins_of_all_types_equal_plain_ones(spark):
+    """All pairs of types in one plan: the left keys of each pair carry its number."""
+    number = lambda i, kind: f"cast({i} as {kind})"
+    for a, b in PAIRS:
+        times = "date" in a or "timestamp" in a
+        one = (lambda i, kind: f"cast(timestamp'2024-03-0{i} 00:00:00' as {kind})") if times else (lambda i, kind: f"cast(cast({i} as string) as {kind})") if a == "binary" else number
+        left = spark.sql("SELECT " + one(1, a) + " AS k, 1 AS v UNION ALL SELECT " + one(2, a) + ", 2 UNION ALL SELECT " + one(5, a) + ", 3 UNION ALL SELECT NULL, 4").coalesce(1)
+        right = spark.sql("SELECT " + one(2, "date" if times and b == "string" else b) + (" || ''" if times and b == "string" else "") + " AS k UNION ALL SELECT " + one(1, "date" if times and b == "string" else b) + (" || ''" if times and b == "string" else "")).coalesce(1)
+        like = probe.common_type(left, right, "k")
+        texts = [{r[0] for r in df.select(probe.key_text(F.col("k"), like)).collect()} for df in (left, right)]
+        assert len(texts[0] & texts[1]) == 2, (a, b)
+        assert plain(left.join(right, "k", "left_semi").toPandas()[["v"]]) == [("1",), ("2",)]
+
+
+def test_zeros_and_nans_join_as_spark_joins_them(spark):
+    left = spark.createDataFrame([(0.0, 1), (-0.0, 2), (float("nan"), 3), (1.5, 4), (None, 5)], "k double, v int")
+    right = spark.createDataFrame([(-0.0,), (float("nan"),), (2.5,)], "k float")
+    for f, how in ((probe.semi_join, "left_semi"), (probe.anti_join, "left_anti")):
+        assert sorted(r["v"] for r in f(left, right, "k").collect()) == sorted(r["v"] for r in left.join(right, "k", how).collect())
+
+
+def test_keys_that_cannot_be_compared_are_refused(spark):
+    one = spark.sql("SELECT 1 AS k, array(1) AS a, true AS b, 'x' COLLATE UTF8_LCASE AS c")
+    for left, right in (("k", "b"), ("a", "a"), ("c", "c")):
+        with pytest.raises(errors.ParamError):
+            probe.semi_join(one.select(F.col(left).alias("k")), one.select(F.col(right).alias("k")), "k")
+
+
 def test_too_large_for_a_value(spark, monkeypatch):
     monkeypatch.setattr(build, "DENSE_BYTES", 16)
     with pytest.raises(errors.ParamError):
@@ -112,6 +157,10 @@ def test_too_large_for_a_value(spark, monkeypatch):
     monkeypatch.setattr(build, "FUSE_KEYS", 10)
     with pytest.raises(errors.ParamError):
         build.fuse(keys.members(spark, 11), "key")
+    with pytest.raises(errors.ParamError):
+        build.sharded_fuse(keys.members(spark, 110), "key", 2)
+    monkeypatch.setattr(build, "FUSE_KEYS", 1000)
+    assert build.sharded_fuse(keys.members(spark, 5000), "key", build.shards_for(5000)).count() == 10
 
 
 def test_frames_in_storage(spark, tmp_path):
@@ -164,6 +213,9 @@ def test_stream_is_safe_to_repeat(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     absorbing(stream, other, str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     assert other.value().has_all([f"a:{i}" for i in range(250)]).all()
+    for k in range(2, 5):
+        live.absorb(batch, k)
+    assert live.value().equals(want) and len(list((tmp_path / "live" / "words").iterdir())) == 2  # older states are removed
 
 
 def test_playground(spark):
@@ -216,5 +268,6 @@ def test_accuracy(spark):
     got = {(r["structure"], r["n"]): r for r in reports.accuracy_report(spark, (2000, 5000), 0.01, 50_000).collect()}
     assert len(got) == 8 and all(0.004 < got[k, n]["measured_rate"] < 0.013 for k in ("bloom", "blocked") for n in (2000, 5000))
     assert got["fuse16", 5000]["measured_rate"] < 0.001
-    both = {r["structure"]: r for r in reports.comparison_report(spark, 5000, 0.01, 20_000).collect()}
+    both = {r["structure"]: r for r in reports.comparison_report(spark, (5000,), 0.01, 20_000).collect()}
+    assert set(both) == {*reports.KINDS, "spark"}
     assert both["bloom"]["bits_per_key"] == pytest.approx(9.59, abs=0.01) and 0.003 < both["spark"]["measured_rate"] < 0.03
