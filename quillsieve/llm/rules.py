@@ -5,9 +5,10 @@ and line ratios. A text is kept if it passes the base rule and every bound.
 Only built-in expressions run, and nothing is shuffled.
 
 Edge cases: a null text has no words; ratios of a text without words or lines
-are 0; ties do not arise, as every row is judged alone; an empty table gives an
-empty result; other columns are ignored, whatever their names. Windows are
-compared by 64-bit hashes of their five words.
+are 0; ties do not arise, as every row is judged alone, rows that repeat a
+document too; very long texts are read whole; an empty table gives an empty
+result; other columns are ignored, whatever their names. Windows are compared by
+64-bit hashes of their five words.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ sum over its grams. Both count in whole thousandths, so their scores are equal.
 Edge cases: null URLs and those without :// have an empty host and path and no
 rule; the empty URL has score 0; without labelled URLs of both kinds every
 verdict of the method is allow, and without such to calibrate with the threshold
-is 0; of rules equally long block wins; an empty table
-gives an empty result.
+is 0; of rules equally long block wins; scores equal to the threshold are allowed;
+URLs of any length are read whole, and rows that repeat one are judged each, and
+count each where models learn; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -197,6 +197,8 @@ def test_fingerprints(spark, docs, empty):
     check_fingerprints(digest(fingerprints.fingerprint_edits(docs.where("doc_id = 5"))), [r for r in single if r[0] == 5])
     assert fingerprints.fingerprint_edits(docs).count() == len(ROWS) and fingerprints.fingerprint_edits(empty).count() == 0
     assert fingerprints.fingerprint_edits(docs.where("doc_id is null")).count() == 2
+    named = digest(fingerprints.fingerprint_edits(docs.where("doc_id <> 8").withColumn("doc_id", F.format_string("d%03d", "doc_id"))))
+    check_fingerprints(named.assign(doc_id=named.doc_id.str[1:].astype(int)), single)
     whole = frame(spark, SF, "documents")
     check_fingerprints(queries.op2_bottom_k(spark, SF).toPandas(), list(zip(whole.doc_id, whole.text, strict=True)))
 
@@ -275,7 +277,7 @@ def test_url_scores_equal_brute_force(spark):
 
 def test_a_model_that_does_not_fit_the_plan_scores_alike(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
-    odd = [(10**6 + i, u) for i, u in enumerate(URLS)] + [(10**6, URLS[-1])]
+    odd = [(10**6 + i, u) for i, u in enumerate(URLS)] + [(10**6, URLS[-1])] + [(10**6 + 50, "http://long.net/" + "abc/" * 5000), (10**6 + 50, "http://long.net/" + "abc/" * 5000)]
     pages = pages.union(spark.createDataFrame(odd, "page_id long, url string"))
     whole, joined = (sorted(map(str, urls.filter_urls(pages, queries.URL_RULES, most).collect())) for most in (1 << 20, 10))
     assert whole == joined
@@ -415,6 +417,33 @@ def test_quality_on_held_out_documents(spark):
     assert (own.quality == own.predicted).mean() > 0.97
 
 
+def brute_quality(model, text):
+    """The score by one chain in plain Python: forward and backward sums over good and bad, and the length-weighted share of bad."""
+    x, lengths, _ = quality.line_features([text or ""])
+    emit = [(1.0, math.exp(min(30, max(-30, sum(a * b for a, b in zip(row, model.emission, strict=True)))))) for row in x.tolist()]
+    t = [[math.exp(v) for v in row] for row in model.transition.tolist()]
+    norm = lambda v: [a / sum(v) for a in v]
+    forward = [norm(emit[0])]
+    for e in emit[1:]:
+        forward.append(norm([e[j] * sum(forward[-1][i] * t[i][j] for i in (0, 1)) for j in (0, 1)]))
+    backward = [[1.0, 1.0]]
+    for e in emit[:0:-1]:
+        backward.append(norm([sum(t[i][j] * e[j] * backward[-1][j] for j in (0, 1)) for i in (0, 1)]))
+    bad = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward[::-1], strict=True)]
+    share = sum(p * n for p, n in zip(bad, lengths.tolist(), strict=True)) / sum(lengths.tolist())
+    return 1 / (1 + math.exp(-(model.offset + model.slope * share)))
+
+
+def test_quality_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = dict(frame(spark, SF, "documents")[["doc_id", "text"]].itertuples(index=False))
+    got = queries.op5_line_crf(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["score"] == pytest.approx(brute_quality(model, texts[r["doc_id"]]), abs=1e-9) and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_quality_of_odd_rows(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, quality.train(docs, labels))
@@ -431,6 +460,38 @@ def test_language_on_held_out_documents(spark):
     assert (own.lang == own.lang_pred).mean() > 0.99
 
 
+def brute_language(model, text):
+    """The language whose codeword loses least, trigram by trigram."""
+    folded = text.encode().translate(langid._FOLD)
+    b = [32, *folded, 32]
+    slots = [(x * 961 + y * 3571 + z * 57) % langid.DIMS for x, y, z in zip(b, b[1:], b[2:], strict=False)]
+    margins = [sum(float(model.weights[s, k]) for s in slots) * langid.SCALE / max(1, len(slots)) + float(model.bias[k]) for k in range(model.code.shape[1])]
+    losses = [sum(math.log1p(math.exp(-m * int(c))) for m, c in zip(margins, word, strict=True)) for word in model.code]
+    shares = [math.exp(min(losses) - x) for x in losses]
+    return model.languages[losses.index(min(losses))], max(shares) / sum(shares)
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    texts = dict(frame(spark, SF, "documents")[["doc_id", "text"]].itertuples(index=False))
+    got = queries.op9_language_codes(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in sorted(got, key=lambda r: len(texts[r["doc_id"]] or ""))[:60]:
+        if r["lang_pred"] != "und":
+            lang, score = brute_language(model, texts[r["doc_id"]])
+            assert r["score"] == pytest.approx(score, abs=1e-3) and (r["lang_pred"] == lang or score < 0.55)
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 80)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 40 * 500)
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: Counter(langs) | {"": sum(map(len, texts))})
+    rows = [(i, ("word " * 20) + chr(97 + i % 40 % 26), f"l{i % 40:02}", "s") for i in range(4000)]
+    found = langid.train(spark.createDataFrame(rows, SCHEMA))
+    assert len(found) == 41 and max(n for k, n in found.items() if k) <= 8 and found[""] <= 40 * 500
+
+
 def test_language_of_odd_rows(docs, empty):
     got = langid.identify(docs, langid.train(docs)).select("row.text", "lang_pred", "score").collect()
     for r in got:
@@ -497,6 +558,24 @@ def test_packing(spark, docs, empty, monkeypatch):
     assert placed.sequence_id.nunique() <= 1.03 * placed.length.sum() / 100 + 1
 
 
+def test_packing_evolves_where_best_fit_fails(spark, monkeypatch):
+    """Triplets that fill bins exactly: longest-first best fit needs more bins, so islands run."""
+    rng, own = np.random.default_rng(5), []
+    for _ in range(40):
+        a, b = int(rng.integers(26, 49)), int(rng.integers(26, 34))
+        own += [a, b, 100 - a - b]
+    first = len(packing.best_fit([], list(range(120)), own, 100))
+    items = spark.createDataFrame(list(enumerate(own)), "uid long, length long")
+    monkeypatch.setattr(packing, "GENERATIONS", 60)
+    placed = packing.pack(items, 100).toPandas()
+    assert len(placed) == 120 and placed.groupby("sequence_id").length.sum().max() <= 100
+    assert 40 <= placed.sequence_id.nunique() < first
+    ran = []
+    monkeypatch.setattr(packing, "_evolved", lambda *a: ran.append(a))
+    even = spark.range(64).select(F.col("id").alias("uid"), F.lit(25).cast("long").alias("length"))
+    assert packing.pack(even, 100).select("sequence_id").distinct().count() == 16 and not ran
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = token_files.encode_and_read_back(docs.where("doc_id is not null"), path, "kept", 0, 2).toPandas().sort_values("start")
@@ -506,6 +585,8 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert got.start.tolist() == np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).tolist()
     assert got.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
     assert token_files.encode_and_read_back(empty, path, "kept", 0).count() == 0
+    with pytest.raises(TypeError):
+        token_files.encode_and_read_back(docs.withColumn("doc_id", F.col("doc_id").cast("string")), path, "kept", 0)
     token_files.write_token_files(docs, str(tmp_path / "t"), path, "kept", 0, 4, block_ids=50)
     back = token_files.read_token_files(spark, str(tmp_path / "t")).toPandas().sort_values("start")
     assert len(back) == len(ROWS) and back.doc_id.isna().sum() == 2 and back.doc_id.isna().tolist()[-2:] == [True, True]
