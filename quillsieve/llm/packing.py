@@ -57,9 +57,9 @@ def pieces(documents: DataFrame, vocabulary: str, spaces: str, end_id: int, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary, spaces)
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
+            for k in range(0, b.num_rows, 1024):
                 rows = []
-                part = b.slice(k, 2048)
+                part = b.slice(k, 1024)
                 for d, own in zip(part.column(0).to_pylist(), of.encode_all(part.column(1)), strict=True):
                     ids = own + end
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -96,8 +96,8 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str, spaces:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary, spaces, f"<u{width}")
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([ids + end for ids in of.encode_all(part.column(3))], pa.binary())], names=["range", "doc_id", "tie", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

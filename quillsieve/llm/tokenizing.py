@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts that are cut at once, and their bytes (a longer one is cut alone).
-TEXTS, BYTES = 2048, 8 << 20
+TEXTS, BYTES = 1024, 4 << 20
 #: Chunks of either kind that a worker remembers, twice at most, and the longest that it remembers, in bytes.
 CACHED = 200_000
 LONGEST = 48
