@@ -154,14 +154,15 @@ def range_of(key: Column, cuts: list, kind: str = "bigint") -> Column:
     return F.when(key.isNull(), F.lit(len(cuts) - 1)).otherwise(found).cast("int")
 
 
-def bounded_sample(rows: DataFrame, by: str, most_bytes: int) -> DataFrame:
-    """Those of rows(draw, text, by), in each group in the order of draw, that together have at most most_bytes of text.
+def bounded_sample(rows: DataFrame, by: str, most_bytes: int, most_rows: int) -> DataFrame:
+    """Those of rows(draw, text, by), at most most_rows in each group in the order of draw, that together have at most most_bytes of text.
 
     For rows that are few already; the first of each group always stays.
     """
-    so_far = F.sum(F.octet_length("text")).over(W.partitionBy(by).orderBy("draw", "text").rowsBetween(W.unboundedPreceding, W.currentRow))
-    first = F.row_number().over(W.partitionBy(by).orderBy("draw", "text")) == 1
-    return rows.withColumn("_so_far", so_far).withColumn("_first", first).where((F.col("_so_far") <= most_bytes) | F.col("_first")).drop("_so_far", "_first")
+    in_order = W.partitionBy(by).orderBy("draw", "text")
+    so_far = F.sum(F.octet_length("text")).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = rows.withColumn("_so_far", so_far).withColumn("_number", F.row_number().over(in_order))
+    return numbered.where((F.col("_number") == 1) | (F.col("_so_far") <= most_bytes) & (F.col("_number") <= most_rows)).drop("_so_far", "_number")
 
 
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:

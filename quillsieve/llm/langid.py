@@ -37,6 +37,7 @@ PER_LANGUAGE = 400
 MAX_BYTES = 65_536
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 48 << 20
+SPARE = 40  # documents of a language that are expected beyond what is wanted, so that chance leaves none without
 AMBIGUOUS = 0.6  # scores below this are flagged
 SCALE = 100.0
 CHUNK = 1 << 20
@@ -143,8 +144,8 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int
         return None
     wanted = min(per_language, max(2, SAMPLE_ROWS // n))
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
-    drawn = rows.select("text", "lang", draw).join(broadcast_if_small(counts, n), "lang").where(F.col("draw") * F.col("count") < wanted)
-    sample = bounded_sample(drawn.select("draw", "text", "lang"), "lang", SAMPLE_BYTES // n)
+    drawn = rows.select("text", "lang", draw).join(broadcast_if_small(counts, n), "lang").where(F.col("draw") * F.col("count") < wanted + SPARE)
+    sample = bounded_sample(drawn.select("draw", "text", "lang"), "lang", SAMPLE_BYTES // n, wanted)
     texts = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())
     texts = [x for x in texts if has_letter(x[0])]
     return fit([t for t, _ in texts], [g for _, g in texts])

@@ -223,7 +223,7 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, m
     chance = F.when(F.col("quality") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
     ids = marked.withColumn("draw", draw).where(F.col("draw") < chance).orderBy("draw", "doc_id").limit(3 * per_label)  # so few rows that they are broadcast
     rows = documents.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("draw", "text", "quality")
-    few = bounded_sample(rows.orderBy("draw", "text").limit(3 * per_label), "quality", SAMPLE_BYTES)
+    few = bounded_sample(rows.orderBy("draw", "text").limit(3 * per_label), "quality", SAMPLE_BYTES, 3 * per_label)
     sample = sorted((r["text"], r["quality"]) for r in few.select("text", "quality").collect())
     got = [sum(q == k for _, q in sample) for k in (0, 1)]
     return fit([t for t, _ in sample], [q for _, q in sample], tuple(counts[k] / max(1, got[k]) for k in (0, 1))) if all(got) else None
