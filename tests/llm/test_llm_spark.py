@@ -103,16 +103,15 @@ def test_mix_of_odd_rows(docs, empty):
     assert rows.columns == docs.columns and rows.count() == got.copies.sum()
 
 
-@pytest.mark.parametrize(
-    "sources",
-    [
-        {"a": [10] * 10, "b": [10] * 10, "c": [10] * 10, "d": [10] * 10},  # a and d tie in size over weight
-        {"a": [100] * 10, "b": [40] * 10},
-        {"a": [1] * 5, "b": [1] * 2, "c": [1]},
-        {"a": [7] * 9, None: [3] * 30, "b": [50]},
-    ],
-)
-@pytest.mark.parametrize("ids", ["unlike", "equal", "null"])
+TIED = [
+    {"a": [10] * 10, "b": [10] * 10, "c": [10] * 10, "d": [10] * 10},  # a and d tie in size over weight
+    {"a": [100] * 10, "b": [40] * 10},
+    {"a": [1] * 5, "b": [1] * 2, "c": [1]},
+    {"a": [7] * 9, None: [3] * 30, "b": [50]},
+]
+
+
+@pytest.mark.parametrize(("sources", "ids"), [*((x, "equal") for x in TIED), (TIED[0], "unlike"), (TIED[3], "unlike"), (TIED[3], "null")])
 def test_mix_of_tied_sources_and_repeated_ids(spark, sources, ids):
     rows = [({"unlike": k, "equal": 1, "null": None}[ids], "w " * n, "en", s) for s, sizes in sources.items() for k, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, SCHEMA)
