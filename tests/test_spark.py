@@ -116,12 +116,12 @@ def test_joins_beyond_a_value(spark, monkeypatch, kind, tabled):
     assert found.count() == left.where("k is not null").count() and found.where("key % 3 = 0 and key < 60 and not found").count() == 0
 
 
-NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double", "decimal(10,2)", "decimal(10,1)", "decimal(38,0)", "string"]
+NUMBERS = ["smallint", "bigint", "float", "double", "decimal(10,2)", "decimal(38,0)", "string"]
 PAIRS = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]] + [("date", "timestamp"), ("timestamp_ntz", "timestamp"), ("date", "string"), ("binary", "string")]
 
 
 def test_joins_of_all_types_equal_plain_ones(spark):
-    """All pairs of types in one plan: the left keys of each pair carry its number."""
+    """Equal keys of unlike types have equal texts, as the plain join has them equal."""
     number = lambda i, kind: f"cast({i} as {kind})"
     for a, b in PAIRS:
         times = "date" in a or "timestamp" in a
