@@ -26,6 +26,8 @@ from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloom
 #: Payloads above this are not collected or broadcast.
 DENSE_BYTES = 64 << 20
 SEGMENT = 1 << 16  # words of a filter that one row carries to the driver
+#: Groups whose sizes are broadcast.
+FEW_GROUPS = 100_000
 #: Keys above this are not peeled in one task (about 640 bytes each while it runs); see sharded_fuse.
 FUSE_KEYS = 1_000_000
 
@@ -127,6 +129,8 @@ def bloom_words_by(df: DataFrame, key: str, by: tuple[str, ...], epsilon: float,
     sizes = sizes.withColumn("m", m.cast("long")).withColumn("k", k.cast("long"))
     hashed = keyed.withColumn("h", columns.hash128(F.col("key"), seed))
     sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], "m", "k", "n")
+    if sizes.count() <= FEW_GROUPS:  # so that the rows of a large group stay where they are
+        sizes = F.broadcast(sizes)
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
     bits = hashed.join(sizes, same).select(*by, "m", "k", "n", F.explode(columns.probes(F.col("h"), F.col("k"), F.col("m"))).alias("bit"))
     word, mask = columns.bit_word(F.col("bit"))

@@ -13,6 +13,7 @@ from quillsieve.operators import filters
 from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloomFilter, BloomFilter
 from quillsieve.plans.queries import GOLDEN, NAMES
 
+# Frames of a few names, to which all builds must agree.
 BLOOM_3 = "QU1RRgMBAAAABAAABwAqAAAAZQAAAAAAAAAAQAAAAgAAAAAAAAAQAAAAEACAAIAAAAAAAAAAAAIAAAAAAAACEAAgAAAAQAAAAAAAAAAAAAAAAAAEAAAAAAAAAACAAAAAAAAAAAgAAAAAAAAAAAAAAAAAAAAAEAAAAgAAAAAAAAAAAAAAAAAAAAAAIAAAEAAEAAAACACAi3eVnQ=="
 FUSE8_4 = "QU1RRgMDAAAAAAAACAAAAAgAAAAEAAAAAAAAAAAAAAAAAAAAHwAAAAAZAAAAlXUAdTBLlA=="
 KINDS = {"bloom": BloomFilter, "blocked": BlockedBloomFilter, "fuse8": BinaryFuse8, "fuse16": BinaryFuse16}
