@@ -9,7 +9,7 @@ built-in column arithmetic.
 Edge cases: a null text is empty; two empty sketches resemble each other fully,
 an empty and a full one not at all; equal texts have equal sketches; rows that
 repeat a doc_id follow each other in the order of their texts' hashes; null ids
-come last; an empty table gives an empty result; doc_id may be of any type that
+come last (rows of one id, or without one, lie in one range); an empty table gives an empty result; doc_id may be of any type that
 can be ordered and written as text; texts of any length are read whole; other
 columns are ignored, whatever their names.
 """

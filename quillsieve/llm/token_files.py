@@ -14,7 +14,7 @@ the array, CRC-32 of all before it, and one line feed (the text writer's).
 
 Edge cases: a null text is empty, and its only id is the end id; rows that
 repeat a doc_id follow each other, in the order of their texts' hashes; null
-ids come last; an empty table gives no file and an empty result; a document
+ids come last (rows of one id, or without one, lie in one range); an empty table gives no file and an empty result; a document
 larger than a block has a block of its own. doc_id must be of a whole-number
 type, as ids are coded as numbers; others are refused before anything is read.
 Other columns are ignored, whatever their names.
