@@ -64,10 +64,10 @@ def _folded(blocks: str, seed: int) -> str:
 def hashed(source: str, seed: int = 0) -> Steps:
     """Steps from a SELECT with a text column `key`, to w0..w3 as UBIGINT."""
     s = Steps(source)
-    s.add(h="hex(encode(key))", n="octet_length(encode(key))::UBIGINT")
-    s.add(tail="rpad(substr(h, (n // 16 * 32)::BIGINT + 1), 32, '0')", f=f"CASE WHEN n < 16 THEN [{', '.join([f'{seed}'] * 4)}]::UBIGINT[] ELSE {_folded('regexp_extract_all(h, chr(46) || chr(123) || chr(51) || chr(50) || chr(125))', seed)} END")
+    s.add(digits="hex(encode(key))", octets="octet_length(encode(key))::UBIGINT")
+    s.add(tail="rpad(substr(digits, (octets // 16 * 32)::BIGINT + 1), 32, '0')", folded=f"CASE WHEN octets < 16 THEN [{', '.join([f'{seed}'] * 4)}]::UBIGINT[] ELSE {_folded('regexp_extract_all(digits, chr(46) || chr(123) || chr(51) || chr(50) || chr(125))', seed)} END")
     s.add(**{f"k{w}": _mul(_word("tail", str(8 * w + 1)), MULTIPLY[w]) for w in range(4)})
-    s.add(**{f"w{w}": f"xor(xor(f[{w + 1}], {_mul(_rotl(f'k{w}', ROTATE_KEY[w]), MULTIPLY[(w + 1) % 4])}), n & {LOW})" for w in range(4)})
+    s.add(**{f"w{w}": f"xor(xor(folded[{w + 1}], {_mul(_rotl(f'k{w}', ROTATE_KEY[w]), MULTIPLY[(w + 1) % 4])}), octets & {LOW})" for w in range(4)})
 
     def cross() -> None:
         s.again(w0=f"(w0 + w1 + w2 + w3) & {LOW}")
