@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillsieve.llm import elias_fano, html, langid, packing, quality, simhash, token_files
+from quillsieve.llm import elias_fano, html, langid, near_copies, packing, quality, simhash, token_files
 from quillsieve.llm.tokenizing import ChunkEncoder
 
 texts = st.text(alphabet=st.sampled_from("aB é\n\t .É!#-ſŁ\u0301×ß\x0b\x0c\xa0　 'sß1中😀"), max_size=40)
@@ -107,6 +107,16 @@ def test_linked_fingerprints_share_an_anchor():
         assert max(map(len, at.values())) == 34
 
 
+def test_sketches_agree_where_min_hashes_do():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 300, 5000):
+        left, right = (rng.integers(0, 2**64, n, np.uint64) for _ in range(2))
+        near = np.concatenate([left[: n - n // 10], right[: n // 10]])
+        sketches = np.array([np.frombuffer(near_copies.sketch_of(np.unique(s))[0], np.uint8) for s in (left, right, near)])
+        assert near_copies.near_sketches(sketches)(0, np.array([1, 2])).tolist() == [False, True]
+        assert (sketches[0] == sketches[1]).sum() < 10
+
+
 def test_forest_spans_links():
     rng = np.random.default_rng(4)
     a = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 12, 60).astype(np.uint64))
