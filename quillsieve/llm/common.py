@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ SPACES = "\t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 #: Most cut points of a range split; they travel inside the plan.
 MAX_CUTS = 65_536
+#: Rows of an Arrow batch that a worker treats at once.
+SLICE = 1024
 #: Keys that hold more than one row in so many of a table, times its partitions, are joined by broadcast.
 HOT_SHARE = 8
 
@@ -66,6 +72,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, `rows` at most at once; between batches the worker's free memory goes back to the system.
+
+    Workers live on between tasks, and would keep the memory of their largest
+    batch for as long.
+    """
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+        del b
+        give_back()
+
+
+def give_back() -> None:
+    """Returns this process's free memory to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def null_to_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

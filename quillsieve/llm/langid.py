@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import as_row, bounded_sample, broadcast_if_small, in_held_out, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, broadcast_if_small, in_held_out, in_slices, with_fields
 
 DIMS = 8192
 PER_LANGUAGE = 400
@@ -120,7 +120,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
         slots, starts = trigram_slots([texts[i] for i in rows])
         n = np.maximum(np.diff(np.append(starts, len(slots))) - 2, 1)
         sums = np.zeros((len(rows), model.code.shape[1]))
-        if len(rows) == 1:  # a very long text, in pieces
+        if len(texts[rows[0]]) >= CHUNK:  # a very long text, which is always alone, in pieces
             for k in range(0, len(slots), CHUNK):
                 sums[0] += model.weights[slots[k : k + CHUNK]].sum(0, dtype=np.float64)
         else:
@@ -148,7 +148,8 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int
     sample = bounded_sample(drawn.select("draw", "text", "lang"), "lang", SAMPLE_BYTES // n, wanted)
     texts = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())
     texts = [x for x in texts if has_letter(x[0])]
-    return fit([t for t, _ in texts], [g for _, g in texts])
+    model = fit([t for t, _ in texts], [g for _, g in texts])
+    return model
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -156,7 +157,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     rows = documents.select(as_row(documents))
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             langs, scores = predict(model, b.column(0).field("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < AMBIGUOUS)], names=["row", "lang_pred", "score", "ambiguous"])
 

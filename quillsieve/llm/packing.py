@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import broadcast_if_small, cut_lineage, null_to_empty
+from quillsieve.llm.common import broadcast_if_small, cut_lineage, in_slices, null_to_empty
 from quillsieve.llm.tokenizing import encoder
 
 CAPACITY = 4096
@@ -56,22 +56,20 @@ def pieces(documents: DataFrame, vocabulary: str, spaces: str, end_id: int, capa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary, spaces)
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                rows = []
-                part = b.slice(k, 1024)
-                for d, own in zip(part.column(0).to_pylist(), of.encode_all(part.column(1)), strict=True):
-                    ids = own + end
-                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        rows.append((d, i, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(columns[0], part.schema.field(0).type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:5]]]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4") for x in columns[5]], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for part in in_slices(batches):
+            rows = []
+            for d, own in zip(part.column(0).to_pylist(), of.encode_all(part.column(1)), strict=True):
+                ids = own + end
+                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    piece = ids[at : at + 4 * capacity]
+                    rows.append((d, i, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
+            columns = list(zip(*rows, strict=True))
+            arrays = [pa.array(columns[0], part.schema.field(0).type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:5]]]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                arrays.append(pa.array([np.frombuffer(x, "<u4") for x in columns[5]], pa.list_(pa.int64())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
     return documents.select("doc_id", null_to_empty("text").alias("text")).mapInArrow(cut, schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import as_row, bounded_sample, in_held_out, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, in_held_out, in_slices, with_fields
 
 PER_LABEL = 1500
 MAX_BYTES = 65_536
@@ -226,7 +226,8 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, m
     few = bounded_sample(rows.orderBy("draw", "text").limit(3 * per_label), "quality", SAMPLE_BYTES, 3 * per_label)
     sample = sorted((r["text"], r["quality"]) for r in few.select("text", "quality").collect())
     got = [sum(q == k for _, q in sample) for k in (0, 1)]
-    return fit([t for t, _ in sample], [q for _, q in sample], tuple(counts[k] / max(1, got[k]) for k in (0, 1))) if all(got) else None
+    model = fit([t for t, _ in sample], [q for _, q in sample], tuple(counts[k] / max(1, got[k]) for k in (0, 1))) if all(got) else None
+    return model
 
 
 def classify(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -234,7 +235,7 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
     rows = documents.select(as_row(documents))
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             scores = predict(model, b.column(0).field("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 

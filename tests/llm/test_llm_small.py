@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillsieve.llm import elias_fano, html, langid, near_copies, packing, quality, simhash, token_files
+from quillsieve.llm import common, elias_fano, html, langid, near_copies, packing, quality, simhash, token_files
 from quillsieve.llm.tokenizing import ChunkEncoder
 
 texts = st.text(alphabet=st.sampled_from("aB é\n\t .É!#-ſŁ\u0301×ß\x0b\x0c\xa0　 'sß1中😀"), max_size=40)
@@ -218,6 +218,35 @@ def test_language_of_any_text():
     assert langid.predict(one, ["the cat"])[0] == ["xx"]
 
 
+def memory_of_this_process() -> int:
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) // 1024
+
+
+def test_free_memory_goes_back_and_slices_hold_all_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, a + n))}) for a, n in ((0, 25), (25, 0), (25, 10), (35, 3))]
+    pinned, before = [], []
+
+    def given():
+        for b in batches:
+            held = [bytes(60_000) + bytes([k % 256]) for k in range(2000)]  # below the size that goes back by itself
+            pinned.append(held[::100])  # so that the others can't be cut off the heap's end
+            del held
+            before.append(memory_of_this_process())
+            yield b
+
+    slices = list(common.in_slices(given(), 10))
+    assert [x for b in slices for x in b.column(0).to_pylist()] == list(range(38)) and max(b.num_rows for b in slices) == 10
+    assert before[-1] - memory_of_this_process() > 60
+
+
+def test_scores_do_not_depend_on_what_stands_beside():
+    rng = np.random.default_rng(8)
+    some = [" ".join("".join(rng.choice(list("abcdefgh" if k % 2 else "hijklmno"), 6)) for _ in range(40)) for k in range(60)]
+    model = langid.fit(some, ["x", "y"] * 30, rounds=5)
+    assert langid.predict(model, some)[1].tolist() == [langid.predict(model, [t])[1][0] for t in some]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)
