@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import as_row, bounded_sample, broadcast_if_small, in_held_out, in_slices, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, broadcast_if_small, give_back, in_held_out, in_slices, with_fields
 
 DIMS = 8192
 PER_LANGUAGE = 400
@@ -149,6 +149,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int
     texts = sorted((r["text"], r["lang"]) for r in sample.select("text", "lang").collect())
     texts = [x for x in texts if has_letter(x[0])]
     model = fit([t for t, _ in texts], [g for _, g in texts])
+    give_back()
     return model
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import as_row, bounded_sample, in_held_out, in_slices, with_fields
+from quillsieve.llm.common import as_row, bounded_sample, give_back, in_held_out, in_slices, with_fields
 
 PER_LABEL = 1500
 MAX_BYTES = 65_536
@@ -227,6 +227,7 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, m
     sample = sorted((r["text"], r["quality"]) for r in few.select("text", "quality").collect())
     got = [sum(q == k for _, q in sample) for k in (0, 1)]
     model = fit([t for t, _ in sample], [q for _, q in sample], tuple(counts[k] / max(1, got[k]) for k in (0, 1))) if all(got) else None
+    give_back()
     return model
 
 

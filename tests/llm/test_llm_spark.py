@@ -491,6 +491,14 @@ def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
     assert len(found) == 41 and max(n for k, n in found.items() if k) <= 8 and found[""] <= 40 * 500
 
 
+def test_training_gives_memory_back(spark, monkeypatch):
+    calls = []
+    for module in (langid, quality):
+        monkeypatch.setattr(module, "give_back", lambda: calls.append(1))
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    assert langid.train(documents) and quality.train(documents, labels) and len(calls) == 2
+
+
 def test_language_of_odd_rows(docs, empty):
     got = langid.identify(docs, langid.train(docs)).select("row.text", "lang_pred", "score").collect()
     for r in got:
