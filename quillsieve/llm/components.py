@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,30 @@ from quillsieve.llm.common import cut_lineage, with_values
 
 #: Edges from which on a node with a share of them is met by broadcast; fewer are no burden for one task.
 MANY = 100_000
+#: Most edges that one task unites by itself, 16 bytes each; more are united by rounds of all tasks, with equal roots.
+ALONE = 1 << 18
+
+
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b), and the least node that it is linked to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # a root goes to the least one that it meets
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        x, y = root[x], root[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+    return nodes, nodes[root]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if ends:
+        found = united(*(np.concatenate(x) for x in zip(*ends, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "root"])
 
 
 def _stars(edges: DataFrame, large: bool, many: bool) -> DataFrame:
@@ -26,14 +54,19 @@ def _stars(edges: DataFrame, large: bool, many: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges(a, b): root is the least node that it is linked to.
+    """(node, root) of every node of edges(a, b), which are longs: root is the least node that it is linked to.
 
-    Alternating large-star and small-star steps until nothing moves; the number
+    Few edges are united in one task, as each round of many costs some tasks for
+    every shuffle partition, however few the edges are. For more of them,
+    alternating large-star and small-star steps until nothing moves; the number
     of rounds grows with the logarithm of the nodes. Each round is written to
     the checkpoint folder. A node with very many neighbours is met by partial
     aggregation, and joined by broadcast, never in one task.
     """
-    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    if edges.count() <= ALONE:
+        return cut_lineage(edges.coalesce(1).mapInArrow(_united, "node long, root long"))
+    edges = cut_lineage(edges.distinct())
     digest = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = digest(edges)
     while before[0]:

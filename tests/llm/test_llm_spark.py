@@ -402,6 +402,33 @@ def test_components_equal_union_find(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, name, run):
+    """What run returns, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    found = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_few_links_take_few_jobs(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(words[6 * k :] + [f"v{i}" for i in range(6 * k)])) for k in range(12)]  # a chain of near copies
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    found, jobs = jobs_of(spark, "near copies", lambda: near_copies.near_copies(every).collect())
+    assert {r["component_id"] for r in found} == {0} and len(found) == 12
+    assert jobs < 100
+
+
+def test_one_task_and_rounds_unite_alike(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (400, 2))] + [(5000, 5000 - i) for i in range(100)] + [(9000 + 7 * i % 90, 9000 + 7 * (i + 1) % 90) for i in range(80)]
+    edges = spark.createDataFrame([*edges, *edges[:50], (2**63 - 1, -(2**63))], "a long, b long")
+    alone, jobs = jobs_of(spark, "alone", lambda: sorted(components.components(edges).collect()))
+    monkeypatch.setattr(components, "ALONE", 0)
+    rounds, more = jobs_of(spark, "rounds", lambda: sorted(components.components(edges).collect()))
+    assert alone == rounds and len({r["node"] for r in alone}) == len(alone) and jobs < more
+
+
 def held_out(i) -> bool:
     return zlib.crc32(str(i).encode()) % 4 == 2
 
