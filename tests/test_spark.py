@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillsieve import errors
 from quillsieve.functions import codec, columns, kernels, sizing
 from quillsieve.operators import build, probe
-from quillsieve.operators.filters import BinaryFuse16, BlockedBloomFilter, BloomFilter
+from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloomFilter, BloomFilter
 from quillsieve.plans import queries, reports, saturation
 from quillsieve.sources import frames, keys
 from quillsieve.streaming.live import LiveFilter, absorbing, new_rows
@@ -264,6 +264,23 @@ def test_sql_names(spark):
     assert spark.sql("SELECT amq_hash128('abc').w0").first()[0] == 0x75CDC6D1
 
 
+def test_sql_probe_reads_large_frames_in_place(spark):
+    from quillsieve.operators import sql
+
+    sql.register(spark)
+    own, asked = [f"k{i}" for i in range(3000)], [f"k{i}" for i in range(2000, 9000)]
+    rows = spark.createDataFrame([(k,) for k in asked], "key string").coalesce(1)
+    for held in (BloomFilter.from_keys(own, 0.01), BlockedBloomFilter.from_keys(own, 0.01), BinaryFuse8.from_keys(own), BinaryFuse16.from_keys(own), BinaryFuse16.from_keys([])):
+        framed = rows.select("key", F.lit(held.to_bytes()).alias("frame")).selectExpr("amq_might_contain(frame, key) AS hit")
+        assert [r["hit"] for r in framed.collect()] == held.has_all(asked).tolist()
+    big = BloomFilter.from_keys(own, 1e-6).to_bytes()
+    sent = rows.select("key", F.lit(big).alias("frame")).selectExpr("amq_might_contain(frame, key)")._jdf.queryExecution().executedPlan().toString()
+    assert all(len(line) < len(big) for line in sent.splitlines() if "ArrowEvalPython" in line)  # not a whole frame for each row
+    for bad in (big[:-1] + b"?", big[:9] + b"?" + big[10:], b"AMQF"):
+        with pytest.raises(Exception, match="Error"):
+            rows.select("key", F.lit(bad).alias("frame")).selectExpr("amq_might_contain(frame, key)").collect()
+
+
 def test_accuracy(spark):
     got = {(r["structure"], r["n"]): r for r in reports.accuracy_report(spark, (2000, 5000), 0.01, 50_000).collect()}
     assert len(got) == 8 and all(0.004 < got[k, n]["measured_rate"] < 0.013 for k in ("bloom", "blocked") for n in (2000, 5000))
