@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import as_row, broadcast_if_small, columns_of, cut_lineage, with_values
+from quillsieve.llm.common import broadcast_if_small, columns_of, cut_lineage, with_values
 from quillsieve.llm.components import components
 
 SHINGLE = 3
@@ -199,10 +199,11 @@ def keep_one(documents: DataFrame, found: DataFrame) -> DataFrame:
     n = repeated.count()
     if not n:
         return kept
-    rows = kept.select(as_row(kept))
-    id_ = F.col("row.doc_id")
-    repeats = broadcast_if_small(repeated, n).select(F.col("doc_id").alias("again"))
-    once = rows.join(repeats, id_.eqNullSafe(F.col("again")), "left").withColumn("key", F.when(id_.isNull(), F.md5(F.col("row.text").cast("binary"))))
-    single = once.where(F.col("again").isNull() & id_.isNotNull())
-    many = once.where(F.col("again").isNotNull() | id_.isNull()).groupBy(id_.alias("id"), "key").agg(F.first("row").alias("row"))
-    return single.select("row.*").union(many.select("row.*"))
+    # by flat columns: what the optimizer infers of a struct of many columns takes the driver's memory
+    repeats, id_ = broadcast_if_small(repeated, n).select(F.col("doc_id").alias("again")), kept["doc_id"]
+    key = "_key"
+    while key in map(str.lower, kept.columns):
+        key += "_"
+    single = kept.join(repeats, id_.eqNullSafe(repeats["again"]), "left_anti")
+    many = kept.join(repeats, id_.eqNullSafe(repeats["again"]), "left_semi").withColumn(key, F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))))
+    return single.union(many.dropDuplicates(["doc_id", key]).drop(key))

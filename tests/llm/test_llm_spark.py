@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -652,6 +653,20 @@ def test_html_of_the_pages(spark):
         assert text == " ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", article))).split())
 
 
+def test_repeated_links_are_united_by_task(spark, monkeypatch):
+    monkeypatch.setattr(components, "ALONE", 400)
+    edges = spark.range(0, 20_000, 1, 9).selectExpr("id % 100 * 3 AS a", "id % 100 * 3 + 1 + id % 2 AS b")
+    found, whole = components._contracted(edges)
+    assert whole and sorted(found.collect()) == sorted(((3 * k + i, 3 * k) for k in range(100) for i in ((0, 1) if k % 2 == 0 else (0, 2))))
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 3000, (2, 2000))
+    parts = [pa.RecordBatch.from_arrays([pa.array(x[k : k + 150]) for x in (a, b)], names=["a", "b"]) for k in range(0, 2000, 150)]
+    out = list(components._united(iter(parts)))  # nodes are too many for 400 at once
+    assert len(out) > 1
+    x, y = (np.concatenate([o.column(k).to_numpy() for o in out]) for k in (0, 1))
+    assert all((p == q).all() for p, q in zip(components.united(x, y), components.united(a, b), strict=True))
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, docs, empty):
     labels_dir = SF
     rows = docs
