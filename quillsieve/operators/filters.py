@@ -8,6 +8,7 @@ modelled rate.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterable
 from typing import ClassVar
 
@@ -264,13 +265,15 @@ def peel(keys: np.ndarray, geometry: sizing.FuseGeometry, attempts: int = ATTEMP
         mixed = kernels.mix_seed(keys, seed)
         places = kernels.fuse_positions(mixed, geometry.segment, geometry.segment_count_length)
         rows = np.arange(n)
-        count = np.bincount(places.reshape(-1).astype(np.int64), minlength=geometry.array_length)
-        owner = np.zeros(geometry.array_length, np.int64)  # exclusive or of the rows in a slot
+        flat = places.reshape(-1).astype(np.int64)
+        counts = np.bincount(flat, minlength=geometry.array_length)
+        owners = np.zeros(geometry.array_length, np.int64)  # exclusive or of the rows in a slot
         for j in range(3):
-            np.bitwise_xor.at(owner, places[:, j].astype(np.int64), rows)
-        stack = np.flatnonzero(count == 1).tolist()
-        count_of, owner_of, of = count.tolist(), owner.tolist(), places.astype(np.int64).tolist()
-        order, own = [], []
+            np.bitwise_xor.at(owners, flat[j::3], rows)
+        stack = array("q", np.flatnonzero(counts == 1).astype(np.int64).tobytes())
+        # views of arrays, as lists of numbers would take several times their memory
+        count_of, owner_of, of = counts.astype(np.int64).data, owners.data, flat.data
+        order, own = array("q"), array("q")
         while stack:
             slot = stack.pop()
             if count_of[slot] != 1:
@@ -278,13 +281,13 @@ def peel(keys: np.ndarray, geometry: sizing.FuseGeometry, attempts: int = ATTEMP
             row = owner_of[slot]
             order.append(row)
             own.append(slot)
-            for p in of[row]:
+            for p in of[3 * row : 3 * row + 3]:
                 count_of[p] -= 1
                 owner_of[p] ^= row
                 if count_of[p] == 1:
                     stack.append(p)
         if len(order) == n:
-            return seed, mixed[order], np.array(own, np.int64)
+            return seed, mixed[np.frombuffer(order, np.int64)], np.frombuffer(own, np.int64)
     raise BinaryFuseBuildError(f"{n} keys could not be arranged with {attempts} seeds")
 
 
@@ -313,13 +316,14 @@ class _BinaryFuse(Filter):
     def _filled(cls, n: int, geometry: sizing.FuseGeometry, peeled: tuple[int, np.ndarray, np.ndarray]) -> _BinaryFuse:
         """The filter of n keys that were peeled: slots are set in the opposite order."""
         seed, mixed, own = peeled
-        fingerprint = kernels.fuse_fingerprint(mixed, cls.width).tolist()
-        places = kernels.fuse_positions(mixed, geometry.segment, geometry.segment_count_length).astype(np.int64).tolist()
-        slots = [0] * geometry.array_length
+        own = own.data
+        fingerprint = kernels.fuse_fingerprint(mixed, cls.width).data
+        places = kernels.fuse_positions(mixed, geometry.segment, geometry.segment_count_length).reshape(-1).astype(np.int64).data
+        slots = array("BH"[cls.width // 16], bytes(geometry.array_length * cls.width // 8))
         for row in range(len(own) - 1, -1, -1):
-            a, b, c = places[row]
+            a, b, c = places[3 * row : 3 * row + 3]
             slots[own[row]] = fingerprint[row] ^ slots[a] ^ slots[b] ^ slots[c]
-        return cls(geometry, seed, n, np.array(slots, f"<u{cls.width // 8}"))
+        return cls(geometry, seed, n, np.array(slots).astype(f"<u{cls.width // 8}"))
 
     def _has(self, words: np.ndarray) -> np.ndarray:
         if not self.size:

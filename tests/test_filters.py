@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import base64
 import struct
+import tracemalloc
+import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +161,12 @@ def test_bad_envelopes(value, error):
     with pytest.raises(getattr(errors, error)) as found:
         codec.from_envelope(value)
     assert type(found.value).__name__ == error
+
+
+def test_peeling_takes_little_memory_a_key():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 100_000, np.uint64)
+    tracemalloc.start()
+    held = BinaryFuse16.from_hashes(hashes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * len(hashes) and zlib.crc32(held.to_bytes()) == 558161692  # the bytes of peeling in lists
