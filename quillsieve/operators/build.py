@@ -26,9 +26,10 @@ from quillsieve.operators.filters import BinaryFuse8, BinaryFuse16, BlockedBloom
 #: Payloads above this are not collected or broadcast.
 DENSE_BYTES = 64 << 20
 SEGMENT = 1 << 16  # words of a filter that one row carries to the driver
+PIECE = 1 << 12  # words that one row carries between the tasks that build a value: 16 KB
 #: Groups whose sizes are broadcast.
 FEW_GROUPS = 100_000
-#: Keys above this are not peeled in one task (about 640 bytes each while it runs); see sharded_fuse.
+#: Keys above this are not peeled in one task (about 150 bytes each while it runs); see sharded_fuse.
 FUSE_KEYS = 1_000_000
 
 
@@ -100,6 +101,53 @@ def collect_words(words: DataFrame, into: _Mutable) -> _Mutable:
     return into
 
 
+def dense(keys: DataFrame, into: _Mutable) -> _Mutable:
+    """The filter `into` with keys(key), as a value: each task sets bits in an array of its own, and sends it in pieces of up to PIECE words that are united piece by piece.
+
+    A task holds a filter of DENSE_BYTES at most, where rows of words would take many times that to aggregate.
+    """
+    if into.words.nbytes > DENSE_BYTES:
+        raise ParamError(f"a filter of {into.words.nbytes} bytes is kept as words; the bound for a value is {DENSE_BYTES}")
+    bare, size = template(into), len(into.words)
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for b in batches:
+            index, mask = bare.bit_words(kernels.murmur128(b.column(0), bare.seed))
+            index, mask = kernels.or_words(index.reshape(-1), mask.reshape(-1))
+            words = np.zeros(size, "<u4") if words is None else words
+            words[index] |= mask
+        for at in range(0, size if words is not None else 0, PIECE):
+            part = words[at : at + PIECE]
+            if part.any():
+                yield _piece(at // PIECE, part)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for b in batches:
+            for piece, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(part.as_buffer(), "<u4")
+                if piece == last:
+                    held |= part
+                    continue
+                if held is not None:
+                    yield _piece(last, held)
+                last, held = piece, part.copy()
+        if held is not None:
+            yield _piece(last, held)
+
+    kind = "piece long, part binary"
+    sent = keys.select("key").mapInArrow(set_bits, kind).repartition("piece").sortWithinPartitions("piece")
+    for row in sent.mapInArrow(unite, kind).toLocalIterator():
+        at = row["piece"] * PIECE
+        into.words[at : at + PIECE] = np.frombuffer(row["part"], "<u4")
+    return into
+
+
+def _piece(piece: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["piece", "part"])
+
+
 def _sized(df: DataFrame, key: str | Column, epsilon: float, kind: type[_Mutable]) -> tuple[DataFrame, _Mutable]:
     keys = keys_of(df, key)
     return keys, kind.create(max(1, keys.count()), epsilon)
@@ -108,13 +156,13 @@ def _sized(df: DataFrame, key: str | Column, epsilon: float, kind: type[_Mutable
 def bloom(df: DataFrame, key: str | Column, epsilon: float) -> BloomFilter:
     """A classic Bloom filter of a column; sized by its rows, repeated keys included."""
     keys, empty = _sized(df, key, epsilon, BloomFilter)
-    return collect_words(words_of(keys, empty), empty)
+    return dense(keys, empty)
 
 
 def blocked(df: DataFrame, key: str | Column, epsilon: float) -> BlockedBloomFilter:
     """A split-block Bloom filter of a column; sized by its rows, repeated keys included."""
     keys, empty = _sized(df, key, epsilon, BlockedBloomFilter)
-    return collect_words(words_of(keys, empty), empty)
+    return dense(keys, empty)
 
 
 def bloom_words_by(df: DataFrame, key: str, by: tuple[str, ...], epsilon: float, seed: int = 0) -> DataFrame:

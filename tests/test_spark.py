@@ -53,6 +53,15 @@ def test_builds_do_not_depend_on_partitions(spark, kind, parts):
     assert build.build(df, "key", kind, 0.01).equals(want)
 
 
+def test_values_are_built_in_pieces(spark):
+    own = [f"k{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(k,) for k in own], "key string").repartition(5)
+    for want in (BloomFilter.from_keys(own, 1e-6), BlockedBloomFilter.from_keys(own, 1e-4)):
+        assert len(want.words) > 2 * build.PIECE and build.dense(df, want._empty()).equals(want)
+    none = build.dense(df.where("key is null"), BloomFilter.create(1, 0.01))
+    assert none.length == 0
+
+
 def test_nulls_duplicates_and_types(spark):
     df = spark.createDataFrame([(1,), (1,), (None,), (22,)], "k int")
     held = build.bloom(df, "k", 0.01)
